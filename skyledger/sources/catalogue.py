@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from skyledger.functions.nulls import nan_to_null
 
 
-def scan_catalogue(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Column-pruned Parquet read with NaN and infinities as NULL."""
+def scan_catalogue(spark: SparkSession, path: str, columns: Sequence[str] | None = None, where: Column | None = None) -> DataFrame:
+    """Column-pruned Parquet read with NaN and infinities as NULL.
+
+    ``where`` is applied to the stored values, so the reader can skip row groups.
+    """
     df = spark.read.parquet(path)
+    df = df if where is None else df.where(where)
     return nan_to_null(df.select(*columns) if columns else df)
 
 
