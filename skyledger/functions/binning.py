@@ -30,8 +30,9 @@ def bin_index(c: Column | str, edges: Sequence, closed_last: bool = False) -> Co
 
 def clamped_index(c: Column | str, edges: Sequence) -> Column:
     """Bin index with out-of-range values moved into the outer bins; NULL becomes -1."""
-    i = digitize(c, edges) - 1
-    return F.coalesce(F.greatest(F.lit(0), F.least(i, F.lit(len(edges) - 2))), F.lit(-1))
+    c = _c(c)
+    i = F.greatest(F.lit(0), F.least(digitize(c, edges) - 1, F.lit(len(edges) - 2)))
+    return F.when(c.isNull(), -1).otherwise(i)
 
 
 def edge_value(index: Column | str, edges: Sequence) -> Column:

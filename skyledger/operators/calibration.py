@@ -99,7 +99,7 @@ def joint_coverage(df: DataFrame, mahal_sq: str, n_labels: int, levels: Sequence
 
 
 def conformal_scores(mahal_sq: str) -> Column:
-    return F.sqrt(F.greatest(F.col(mahal_sq), F.lit(0.0)))
+    return F.when(F.col(mahal_sq).isNotNull(), F.sqrt(F.greatest(F.col(mahal_sq), F.lit(0.0))))
 
 
 def conformal_radius(df: DataFrame, keys: Sequence[str], score: str, level: float, out: str = "radius") -> DataFrame:

@@ -21,7 +21,7 @@ LAPLACE_NUM, LAPLACE_DEN = 1.0, 2.0
 
 
 def _clip(p: Column) -> Column:
-    return F.greatest(F.lit(PROB_FLOOR), F.least(F.lit(PROB_CEIL), p))
+    return F.when(p.isNotNull(), F.greatest(F.lit(PROB_FLOOR), F.least(F.lit(PROB_CEIL), p)))
 
 
 def retention_grid(df: DataFrame, b: Column, g: Column, flagged: Column, b_edges: Sequence[float] = B_EDGES, g_edges: Sequence[float] = G_EDGES) -> DataFrame:

@@ -160,12 +160,12 @@ def compare_releases(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str
 
 def join_compound_key(grid_a: DataFrame, grid_b: DataFrame, edges: Sequence[str], p_a: str, p_b: str, out: str) -> DataFrame:
     """1:1 join of two grids on their edge columns and the clipped product of probabilities."""
-    product = F.greatest(F.lit(COMPOUND_FLOOR), F.least(F.lit(PROB_CEIL), F.col(p_a) * F.col(p_b)))
+    product = compound_selection(F.col(p_a), F.col(p_b))
     return grid_a.join(grid_b, list(edges)).withColumn(out, product)
 
 
 def _clip(p: Column) -> Column:
-    return F.greatest(F.lit(PROB_FLOOR), F.least(F.lit(PROB_CEIL), p))
+    return F.when(p.isNotNull(), F.greatest(F.lit(PROB_FLOOR), F.least(F.lit(PROB_CEIL), p)))
 
 
 def grid_lookup(df: DataFrame, grid: DataFrame, axes: Mapping[str, tuple[Column, Sequence[float]]], prob: str, out: str) -> DataFrame:
@@ -223,7 +223,8 @@ def compound_selection(p_a: Column, p_b: Column, *gates: Column) -> Column:
     for g in gates:
         g = fail_open(g)
         open_ = g if open_ is None else open_ & g
-    product = F.greatest(F.lit(COMPOUND_FLOOR), F.least(F.lit(PROB_CEIL), p_a * p_b))
+    product = p_a * p_b
+    product = F.when(product.isNotNull(), F.greatest(F.lit(COMPOUND_FLOOR), F.least(F.lit(PROB_CEIL), product)))
     return product if open_ is None else F.when(open_, product).otherwise(F.lit(0.0))
 
 

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from skyledger.functions.vectors import double_array, l2_normalise
-from skyledger.operators.blocks import BLOCK, block_pairs
+from skyledger.operators.blocks import BLOCK, block_pairs, same_key
 from skyledger.operators.ranking import exact_quantiles
+from skyledger.session import cut_lineage
 
 K_SUMMARY, K_GATE, GATE_QUANTILE = 50, 10, 0.99
 MAX_PIVOTS = 256
@@ -77,15 +78,13 @@ def knn_join(
     cosine = metric == "cosine"
 
     def nearest(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if lp.empty or rp.empty:
-            return pd.DataFrame({"qid": [], "rid": [], "distance": []})
         rp = rp.sort_values("rid")
         a, b = _matrix(lp["v"]), _matrix(rp["v"])
         d = 1.0 - a @ b.T if cosine else _gaps(a, b)
         qi, ri = lp["qid"].to_numpy(), rp["rid"].to_numpy()
         if exclude_self:
             d = np.where(qi[:, None] == ri[None, :], np.inf, d)
-        d = np.round(d, DIGITS)
+        d = np.where(same_key(lp, rp), np.round(d, DIGITS), np.inf)
         top = np.argsort(d, axis=1, kind="stable")[:, :k]
         dist = np.take_along_axis(d, top, axis=1)
         keep = np.isfinite(dist).ravel()
@@ -98,7 +97,7 @@ def knn_join(
     home = block_pairs(q.select("qid", "v", "cell"), r.select("rid", "v", "cell"), ["cell"], ["qid"], ["rid"], nearest, schema, block)
     found = home
     if len(centres) > 1:
-        best = home.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
+        best = cut_lineage(home.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k))
         full = best.groupBy("qid").agg(F.count(F.lit(1)).alias("m"), F.max("distance").alias("b"))
         reach = F.when(F.col("m") >= k, F.sqrt(2.0 * F.greatest(F.col("b"), F.lit(0.0))) if cosine else F.col("b"))
         bound = full.select("qid", reach.alias("reach"))

@@ -278,7 +278,7 @@ def seismic_check(df: DataFrame, numax: str, e_numax: str, teff: str, logg: str,
 
     d = df.where((F.col(numax) > 0) & F.col(teff).isNotNull() & F.col(logg).isNotNull())
     d = d.withColumn("__d", F.col(logg) - seismic_logg(numax, teff))
-    seis = F.greatest(F.lit(0.0), F.col(e_numax) / F.col(numax) / math.log(10.0))
+    seis = F.when(F.col(e_numax).isNotNull(), F.greatest(F.lit(0.0), F.col(e_numax) / F.col(numax) / math.log(10.0)))
     d = d.withColumn("__pull", F.try_divide(F.col("__d"), F.sqrt(F.col(sigma) * F.col(sigma) + seis * seis)))
     moments = d.agg(
         F.count(F.lit(1)).alias("n"),

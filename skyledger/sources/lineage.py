@@ -97,7 +97,7 @@ def drift_check(df: DataFrame, columns: Mapping[str, tuple[float, float]], *, me
     """Mean drift and sigma ratio of log10 values against frozen (mean, sigma), with the verdict."""
     aggs = []
     for c, (m, s) in columns.items():
-        x = F.log10(F.greatest(F.col(c), F.lit(1e-30)))
+        x = F.when(F.col(c).isNotNull(), F.log10(F.greatest(F.col(c), F.lit(1e-30))))
         aggs += [F.abs(F.avg(x) - m).alias(f"{c}_drift"), (F.stddev_samp(x) / max(s, 1e-30)).alias(f"{c}_ratio")]
     out = df.agg(*aggs)
     ok = F.lit(True)
