@@ -69,4 +69,8 @@ def block_pairs(
         return compare(lp.assign(**{SAME: codes[: len(lp)]}), rp.assign(**{SAME: codes[len(lp) :]}))
 
     group = ["__group", "__lb", "__rb"]
+    # a fixed partition count: the rows are few but each group is a matrix product,
+    # so merging partitions by size would serialise the work
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lhs, rhs = lhs.repartition(n, *group), rhs.repartition(n, *group)
     return lhs.groupBy(*group).cogroup(rhs.groupBy(*group)).applyInPandas(run, schema)
