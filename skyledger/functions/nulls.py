@@ -32,10 +32,12 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def all_present(*cols: str) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+    return ~any_missing(*cols)
 
 
 def any_missing(*cols: str) -> Column:
+    if len(cols) > 12:  # a long chain of ORs is slow to plan
+        return F.exists(F.array(*[F.col(c) for c in cols]), lambda x: x.isNull())
     return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
 
 

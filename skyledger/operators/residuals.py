@@ -46,11 +46,11 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 def mad_scatter(df: DataFrame, keys: Sequence[str], value: str, *, median: str = "median", mad: str = "mad_scatter") -> DataFrame:
     """Median and ``1.4826 * median|x - median|`` per group, exact, in two rank passes."""
-    df, ks = _keyed(df, keys)
+    df, ks = (df, list(keys)) if keys else (df.withColumn("__mad", F.lit(0)), ["__mad"])
     centre = exact_quantiles(df, ks, value, {median: 0.5})
     dev = join_on_keys(df.select(*ks, value), centre, ks).withColumn("__dev", F.abs(F.col(value) - F.col(median)))
     spread = exact_quantiles(dev, ks, "__dev", {mad: 0.5}).withColumn(mad, F.col(mad) * MAD_TO_SIGMA)
-    return join_on_keys(centre, spread, ks).drop("__one")
+    return join_on_keys(centre, spread, ks).drop("__mad")
 
 
 def coverage(residual: Column, sigma: Column, level: float) -> Column:

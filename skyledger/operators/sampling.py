@@ -120,29 +120,27 @@ def target_fill(cells: DataFrame, target: int) -> DataFrame:
     )
 
 
-def quantile_edges(df: DataFrame, columns: Sequence[str], n_bins: Sequence[int], offset: float = 0.0) -> Column:
-    """Interior quantile edges of several columns as one struct (scalar subquery): ``<column>_q<i>``."""
-    names = {}
-    for c, n in zip(columns, n_bins):
-        for i in range(1, n):
-            p = min(1.0, max(0.0, i / n + offset / n))
-            names.setdefault(c, {})[f"q{i}"] = p
-    tables = [exact_quantiles_of(df, [], [c], ps) for c, ps in names.items()]
-    if len({tuple(ps.items()) for ps in names.values()}) == 1:
-        return one_row(exact_quantiles_of(df, [], list(names), next(iter(names.values()))))
-    cols = [one_row(t)[x].alias(x) for t in tables for x in t.columns]
-    return F.struct(*cols)
+def quantile_edges(df: DataFrame, columns: Sequence[str], n_bins: Sequence[int], offset: float = 0.0) -> dict[str, list[float]]:
+    """Interior quantile edges per column: a fit that brings ``n - 1`` numbers per column to the driver."""
+    out: dict[str, list[float]] = {}
+    for n in sorted(set(n_bins)):
+        cols = [c for c, k in zip(columns, n_bins) if k == n]
+        probs = {f"q{i}": min(1.0, max(0.0, i / n + offset / n)) for i in range(1, n)}
+        row = exact_quantiles_of(df, [], cols, probs).first() or {}
+        for c in cols:
+            found = [row[f"{c}_{q}"] for q in probs] if row else []
+            out[c] = [float(x) for x in found] if found and None not in found else [0.0] * (n - 1)
+    return out
 
 
 def quantile_bin(df: DataFrame, columns: Sequence[str], n_bins: Sequence[int], ids: Sequence[str], *, seed: int = 0, offset: float = 0.0, prefix: str = "q_") -> DataFrame:
     """Digitise columns by their interior quantiles; a missing value gets a seeded hash bin."""
     edges = quantile_edges(df, columns, n_bins, offset)
-    df = df.withColumn("__e", edges)
     out = {}
     for c, n in zip(columns, n_bins):
-        known = digitize(c, [F.col("__e")[f"{c}_q{i}"] for i in range(1, n)])
-        out[f"{prefix}{c}"] = F.coalesce(known, F.pmod(hash_slot(seeded_hash(f"{seed}{c}", *ids)), F.lit(n)))
-    return df.withColumns(out).drop("__e")
+        spare = F.pmod(hash_slot(seeded_hash(f"{seed}{c}", *ids)), F.lit(n))
+        out[f"{prefix}{c}"] = F.coalesce(digitize(c, edges[c]), spare)
+    return df.withColumns(out)
 
 
 def bin_by_cells(df: DataFrame, columns: Sequence[str], n_bins: Sequence[int], ids: Sequence[str], *, seed: int = 0, offset: float = 0.0, out: str = "cell") -> DataFrame:
