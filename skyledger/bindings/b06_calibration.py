@@ -266,10 +266,9 @@ def _(t):
 
 @query("fit_xp_envelope")
 def _(t):
-    cols = [f"c{k}" for k in range(64)]
-    wide = t.embeddings.select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate(cols)])
-    e = od.fit_mahalanobis(wide, cols)
-    return od.score_mahalanobis(wide, e, "d").select("vec_id", F.round("d", 6).alias("score"), od.mahalanobis_flag("d", e).alias("flag"))
+    e = od.fit_vector_envelope(t.embeddings, "embedding")
+    out = od.score_vector_envelope(t.embeddings.select("vec_id", "embedding"), e, "d")
+    return out.select("vec_id", F.round("d", 6).alias("score"), od.mahalanobis_flag("d", e).alias("flag"))
 
 
 VEL = f"{STARS}, vel AS (SELECT source_id, 100e0*(u1 - 0.5e0) AS v_r, 120e0 + 160e0*u2 AS v_t, 260e0*(u3 - 0.5e0) AS v_z FROM stars)"

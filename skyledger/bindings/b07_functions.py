@@ -27,7 +27,7 @@ def cubic(k):
 FACTOR = f"CASE WHEN bp_rp IS NOT NULL AND sol <> 31 AND g_mag >= 13 AND g_mag <= 16 THEN {cubic(cr.G_BRIGHT)} WHEN bp_rp IS NOT NULL AND sol <> 31 AND g_mag > 16 THEN {cubic(cr.G_FAINT)} ELSE 1e0 END"
 
 
-@query("g_mag_correction", f"WITH {STARS} SELECT source_id, g_mag - 2.5e0*log10({FACTOR}) AS phot_g_mean_mag_corr, o_totalprice*{FACTOR} AS phot_g_mean_flux_corr FROM stars", r="phot_g_mean_mag_corr phot_g_mean_flux_corr", digits=5)
+@query("g_mag_correction", f"WITH {STARS} SELECT source_id, g_mag - 2.5e0*log10({FACTOR}) AS phot_g_mean_mag_corr, o_totalprice*{FACTOR} AS phot_g_mean_flux_corr FROM stars", r="phot_g_mean_mag_corr phot_g_mean_flux_corr", digits=3)
 def _(t):
     return cr.g_mag_correction(stars(t), mag="g_mag", solution="sol", flux="o_totalprice").select("source_id", "phot_g_mean_mag_corr", "phot_g_mean_flux_corr")
 
@@ -158,7 +158,7 @@ def uvw(t):
     return s.withColumns(co.eq_to_gal_uvw("ra", "dec", "pmra", "pmdec", "rv", distance_kpc="d"))
 
 
-@query("eq_to_gal_uvw", f'WITH {STARS}, {UVW} SELECT source_id, l_deg, b_deg, dist_pc/1000 AS d_kpc, "U_kms", "V_kms", "W_kms" FROM uvw', r="l_deg b_deg d_kpc U_kms V_kms W_kms", digits=5)
+@query("eq_to_gal_uvw", f'WITH {STARS}, {UVW} SELECT source_id, l_deg, b_deg, dist_pc/1000 AS d_kpc, "U_kms", "V_kms", "W_kms" FROM uvw', r="l_deg b_deg d_kpc U_kms V_kms W_kms", digits=7)
 def _(t):
     return uvw(t).select("source_id", "l_deg", "b_deg", "d_kpc", "U_kms", "V_kms", "W_kms")
 

@@ -35,6 +35,8 @@ class Envelope:
 def _moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, means and sample covariance of complete rows."""
     k = len(columns)
+    if k > EXPRESSION_LIMIT:
+        raise ValueError(f"more than {EXPRESSION_LIMIT} columns: assemble them into a vector and use fit_vector_envelope")
     df = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).where(all_present(*columns))
     means = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns]).first()
     n, mean = means["n"], np.array([means[c] if means[c] is not None else 0.0 for c in columns])
@@ -42,25 +44,63 @@ def _moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np
         return n, mean, np.eye(k)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     cov = np.zeros((k, k))
-    if k <= EXPRESSION_LIMIT:
-        row = df.agg(*[F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-        for i, j in pairs:
-            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
-        return n, mean, cov
+    row = df.agg(*[F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
+    return n, mean, cov
+
+
+
+def fit_vector_envelope(df: DataFrame, vector: str, *, p_threshold: float = 0.99, ridge: float = XP_RIDGE) -> Envelope:
+    """Envelope of an array column: means per position, then one centred Gram matrix per task, summed by Spark."""
+    values = F.col(vector).cast("array<double>")
+    whole = df.select(values.alias("x")).where(~F.exists("x", lambda e: e.isNull() | F.isnan(e)))
+    means = whole.select(F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n")).collect()
+    k = len(means)
+    n = means[0]["n"] if means else 0
+    if n < k + 2:
+        raise ValueError(f"need at least {k + 2} complete rows, got {n}")
+    mean = np.zeros(k)
+    for r in means:
+        mean[r["i"]] = r["m"]
 
-    # many columns: centred Gram matrix per Arrow batch, summed by Spark
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((k, k))
         for b in batches:
-            x = b.to_numpy(dtype=float) - mean
-            total += x.T @ x
+            if len(b):
+                x = np.stack(b["x"].to_numpy()) - mean
+                total += x.T @ x
         i, j = np.triu_indices(k)
         yield pd.DataFrame({"i": i, "j": j, "s": total[i, j]})
 
-    sums = df.mapInPandas(gram, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    cov = np.zeros((k, k))
+    sums = whole.mapInPandas(gram, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
     for r in sums.toLocalIterator():
         cov[r.i, r.j] = cov[r.j, r.i] = r.s / (n - 1)
-    return n, mean, cov
+    precision = np.linalg.inv(cov + ridge * np.eye(k))
+    env = Envelope((vector,), mean, precision, float("nan"), p_threshold, n, ridge)
+    limit = exact_quantiles(score_vector_envelope(df, env, "__d"), [], "__d", {"q": p_threshold}).first()["q"]
+    return Envelope((vector,), mean, precision, float(limit), p_threshold, n, ridge)
+
+
+def score_vector_envelope(df: DataFrame, env: Envelope, out: str) -> DataFrame:
+    """Distance of an array column by one matrix product per Arrow batch; NULL for a vector with holes."""
+    mean, precision = env.mean, env.precision
+
+    @F.pandas_udf("double")
+    def distance(values: pd.Series) -> pd.Series:
+        def usable(v) -> bool:
+            return v is not None and len(v) == mean.size and bool(np.isfinite(np.asarray(v, dtype=float)).all())
+
+        ok = np.array([usable(v) for v in values], dtype=bool)
+        res = np.full(len(values), np.nan)
+        if ok.any():
+            x = np.stack([np.asarray(v, dtype=float) for v in values[ok]]) - mean
+            res[ok] = np.sqrt(np.clip(np.einsum("bi,ij,bj->b", x, precision, x), 0.0, None))
+        return pd.Series(res)
+
+    scored = df.withColumn(out, distance(F.col(env.columns[0]).cast("array<double>")))
+    return scored.withColumn(out, F.when(~F.isnan(out), F.col(out)))
 
 
 def fit_mahalanobis(
@@ -117,22 +157,7 @@ def mahalanobis_expression(env: Envelope) -> Column:
 
 
 def score_mahalanobis(df: DataFrame, env: Envelope, out: str) -> DataFrame:
-    if len(env.columns) <= EXPRESSION_LIMIT:
-        return df.withColumn(out, mahalanobis_expression(env))
-    mean, precision = env.mean, env.precision
-
-    @F.pandas_udf("double")
-    def distance(values: pd.Series) -> pd.Series:
-        ok = np.array([v is not None and len(v) == mean.size and not np.isnan(np.asarray(v, dtype=float)).any() for v in values])
-        res = np.full(len(values), np.nan)
-        if ok.any():
-            x = np.stack([np.asarray(v, dtype=float) for v in values[ok]]) - mean
-            res[ok] = np.sqrt(np.clip(np.einsum("bi,ij,bj->b", x, precision, x), 0.0, None))
-        return pd.Series(res).astype("Float64")
-
-    block = F.array(*[F.col(c).cast("double") for c in env.columns])
-    complete = F.when(all_present(*env.columns), block)
-    return df.withColumn(out, F.nanvl(distance(complete), F.lit(None).cast("double")))
+    return df.withColumn(out, mahalanobis_expression(env))
 
 
 def mahalanobis_flag(score: str, env: Envelope) -> Column:
