@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skyledger.functions.hashing import hash_slot, seeded_hash
 
-SLOTS = 4096
+SLOTS = 2048
 SAMPLE = SLOTS * 8
 # largest k for which Spark plans a row_number filter as a map-side group limit
 GROUP_LIMIT = 1000
@@ -44,7 +44,7 @@ def _value_slots(counted: DataFrame, value: str) -> DataFrame:
     evaluation, retries included, finds the same cut points.
     """
     sample = (
-        counted.select(F.col(value).alias("v"), F.xxhash64(*counted.columns).alias("h"))
+        counted.select(F.col(value).alias("v"), F.xxhash64(value).alias("h"))
         .orderBy("h", "v")
         .limit(SAMPLE)
         .agg(F.sort_array(F.collect_list("v")).alias("s"))
