@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import mixing, packing, rules, simhash, substrings, toxicity
+from skyledger.llm import mixing, packing, pii, rules, simhash, substrings, toxicity
 from skyledger.session import tune
 
 
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         substrings.op6_substrings,
         rules.op7_rules,
         simhash.op9_simhash,
+        pii.op10_pii,
     )
 }
 
