@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import mixing, packing, pii, rules, simhash, substrings, toxicity
+from skyledger.llm import langid, mixing, packing, pii, pivots, quality, rules, simhash, substrings, toxicity
 from skyledger.session import tune
 
 
@@ -20,11 +20,14 @@ def _tuned(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: _tuned(fn)
     for fn in (
+        langid.op1_langid,
+        pivots.op2_pivots,
         packing.op3_packing,
         mixing.op4_mixing,
         toxicity.op5_toxicity,
         substrings.op6_substrings,
         rules.op7_rules,
+        quality.op8_quality,
         simhash.op9_simhash,
         pii.op10_pii,
     )
