@@ -137,6 +137,16 @@ def bounded_sample(df: DataFrame, by: list[str], most: int, seed: str) -> DataFr
     return df.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
 
 
+def aside(df: DataFrame, names: set[str]):
+    """``df`` with columns of these names (whatever their case) renamed, and what selects the columns of ``df`` under their names again."""
+    moved = {c: f"__aside_{k}" for k, c in enumerate(df.columns) if c.lower() in names}
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*(F.col(f"`{moved.get(c, c)}`").alias(c) for c in df.columns))
+
+    return df.select(*(F.col(f"`{c}`").alias(moved.get(c, c)) for c in df.columns)), back
+
+
 def table_hash(df: DataFrame):
     """Row count and an order-free hash of all rows, as one driver-side tuple."""
     part = F.xxhash64(*df.columns)

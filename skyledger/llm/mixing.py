@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType
 
-from skyledger.llm.common import table
+from skyledger.llm.common import aside, table
 from skyledger.session import cut_lineage
 
 WEIGHTS = (3, 1, 2)
@@ -142,11 +142,12 @@ def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     words, joined by one space. Texts without words stay once, since they cost
     the mix nothing.
     """
-    points = cursors(cut_lineage(docs.select("source", n_words(F.col("text")).alias("size"), _order(F.col("doc_id"), SEED).alias("_order"))), WEIGHTS, SHARE, EPOCHS)
-    taken = apply(docs.withColumns({"size": n_words(F.col("text")), "_order": _order(F.col("doc_id"), SEED)}), points)
+    inner, back = aside(docs, {"size", "source_size", "target", "taken", "_order", "_words", "_s", "_whole", "_edge", "_edge_size", "_part"})
+    points = cursors(cut_lineage(inner.select("source", n_words(F.col("text")).alias("size"), _order(F.col("doc_id"), SEED).alias("_order"))), WEIGHTS, SHARE, EPOCHS)
+    taken = apply(inner.withColumns({"size": n_words(F.col("text")), "_order": _order(F.col("doc_id"), SEED)}), points)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(1))
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0))
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), times.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
     text = F.when(F.col("_words") > 0, F.array_join(F.slice(_words(F.col("text")), F.lit(1), F.greatest(F.lit(1), F.col("_words").cast("int"))), " ")).otherwise(F.col("text"))
     rows = taken.withColumn("_words", F.explode(copies)).withColumn("text", text)
-    return rows.withColumn("n_chars", F.when(F.col("_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    return back(rows.withColumn("n_chars", F.when(F.col("_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))))

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger.llm.common import table
+from skyledger.llm.common import aside, table
 
 DEFAULT_KEY = "corpus-surrogates"
 ROUNDS = 8
@@ -307,5 +307,6 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: every document, with surrogates in its text and its characters counted anew."""
-    done = surrogate(docs.select([c for c in docs.columns if c != "n_entities"]))
-    return done.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    inner, back = aside(docs, {"n_entities"})
+    done = surrogate(inner)
+    return back(done.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))))

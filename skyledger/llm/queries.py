@@ -34,4 +34,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: the others have no SQL; the tests hold them against brute force or held-out accuracy
-ORACLES: dict[str, str] = {"op4_mixing": mixing.OP4_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.OP4_SQL, "op6_substrings": substrings.OP6_SQL, "op7_rules": rules.OP7_SQL}

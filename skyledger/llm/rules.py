@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skyledger.llm.common import table
+from skyledger.llm.common import aside, table
 
 SPACES = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -137,10 +137,40 @@ def judge(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE_RUL
     base_failed = F.lit(False)
     for c in compile_rules(base).values():
         base_failed = base_failed | c
-    rated = counts(docs, text).withColumns(ratios())
-    return rated.withColumns({"base_failed": base_failed, "failed": failed}).withColumn("kept", F.size("failed") == 0)
+    results = {"base_failed", "failed", "kept"}
+    inner, back = aside(docs, {"_text", "_words", "_windows", "_found", "_lines"})
+    rated = counts(inner, text).withColumns(ratios())
+    rated = rated.withColumns({"base_failed": base_failed, "failed": failed}).withColumn("kept", F.size("failed") == 0)
+    new = [c for c in rated.columns if c not in inner.columns or c in results]
+    own = back(rated).columns
+    moved = dict(zip(own, inner.columns))
+    return rated.select(*(F.col(f"`{moved[c]}`").alias(c) for c in own if c not in new), *new)
 
 
 def op7_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_LIST = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+_TESTS = {r.name: " OR ".join(f"{r.value} {sign} {edge}" for sign, edge in (("<", r.least), (">", r.most)) if edge is not None) for r in (*BASE_RULES, *RULES)}
+OP7_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws,
+             [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS ls FROM t),
+g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM w, unnest(range(1, len(ws) - 1)) u(i)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY rid),
+c AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN ws]), 0)::BIGINT AS word_chars,
+             (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+             len(ls) AS n_lines, length(text) - length(regexp_replace(text, '[!?]', '', 'g')) AS n_marks,
+             len([x FOR x IN ws IF x = '|']) AS n_bars, len([x FOR x IN ws IF lower(x) IN ({_LIST})]) AS n_stops
+      FROM w LEFT JOIN covered USING (rid)),
+r AS (SELECT *, coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0), 0) AS repeat_ratio, coalesce(word_chars::DOUBLE / nullif(n_words, 0), 0) AS mean_word_chars,
+             coalesce(n_symbols::DOUBLE / nullif(word_chars, 0), 0) AS symbol_ratio, coalesce(n_marks::DOUBLE / nullif(n_words, 0), 0) AS mark_ratio,
+             coalesce(n_stops::DOUBLE / nullif(n_words, 0), 0) AS stop_ratio, coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0) AS dup_line_ratio,
+             coalesce(n_bars::DOUBLE / nullif(n_words, 0), 0) AS bar_ratio FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT ({" OR ".join(f"({t})" for t in _TESTS.values())}) AS kept FROM r
+"""

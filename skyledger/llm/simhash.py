@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from xxhash import xxh64_intdigest
 
-from skyledger.llm.common import components, forest, table
+from skyledger.llm.common import aside, components, forest, table
 from skyledger.session import cut_lineage
 
 SHINGLE = 3
@@ -214,5 +214,6 @@ def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     found = near_duplicates(docs.select("doc_id", "text"))
     chosen = found.where("doc_id = component_id").select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
-    kept = docs.join(chosen, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(order)).where("_copy = 1")
-    return kept.select(docs.columns).unionAll(docs.where("doc_id is null"))
+    inner, back = aside(docs, {"_copy"})
+    kept = inner.join(chosen, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
+    return back(kept.unionAll(inner.where("doc_id is null")))

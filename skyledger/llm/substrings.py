@@ -186,3 +186,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
 def op6_substrings(spark: SparkSession, folder: str) -> DataFrame:
     out = remove_repeats(table(spark, folder, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP6_SQL = f"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
+win AS (SELECT rid, doc_id, i, array_to_string(ws[i:i + {WIDTH - 1}], ' ') AS g FROM w, unnest(range(1, len(ws) - {WIDTH - 2})) u(i)),
+low AS (SELECT g, min(doc_id) AS lo FROM win GROUP BY g),
+hit AS (SELECT rid, i FROM win JOIN low USING (g) WHERE doc_id > lo),
+gone AS (SELECT DISTINCT rid, i + k AS p FROM hit, range({WIDTH}) r(k)),
+word AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS body FROM word ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM w LEFT JOIN (SELECT rid, count(*) AS n FROM gone GROUP BY rid) USING (rid) LEFT JOIN kept USING (rid)
+"""

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger.llm.common import blocks, bounded_sample, held_out, mix, rows_of, span_hashes, spans, table
+from skyledger.llm.common import aside, blocks, bounded_sample, held_out, mix, rows_of, span_hashes, spans, table
 
 #: documents of each class that training may use; the bound of what reaches the driver
 SAMPLE = 2000
@@ -279,4 +279,5 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go; the network learns from the labels of the folder."""
     net = fit(docs, table(spark, folder, "labels"))
-    return score(docs, net).where("predicted = 0").select(docs.columns)
+    inner, back = aside(docs, {"score", "predicted"})
+    return back(score(inner, net).where("predicted = 0"))
