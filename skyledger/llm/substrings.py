@@ -6,9 +6,12 @@ runs (representative, first window, last window), and equal windows have equal
 representatives wherever they are. A count-min sketch over representatives is
 built in each partition and merged by cell, over as many cells as the corpus
 needs; no window occurs more often than its representative's cells say. Runs
-whose cells are all at one cannot repeat and end there. Only the windows of the
-other runs are hashed to 128 bits and grouped exactly. Nothing is lost, and the
-sketch, spread over the cluster, is never broadcast.
+whose cells are all at one cannot repeat and end there. The others are grouped
+exactly: first whole runs (representative and a hash of all their words, 128
+bits), of which the one with the smallest id stands for all; then, where
+different runs share a representative, as at the ends of a passage, their
+windows one by one (128 bits). Nothing is lost, and the sketch, spread over the
+cluster, is never broadcast.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger.llm.common import SPACES, blocks, byte_table, gram_hashes, mix, rows_of, span_hashes, spans, table
+from skyledger.llm.common import SPACES, blocks, byte_table, gram_hashes, mix, powers, rows_of, span_hashes, spans, table
 from skyledger.session import cut_lineage
 
 WIDTH = 50
@@ -68,6 +71,15 @@ def runs_of(words: np.ndarray, first: np.ndarray, width: int = WIDTH, gram: int
     return rows, low[at[head]], at[head] - first[rows], at[tail] - first[rows]
 
 
+def run_hashes(words: np.ndarray, first: np.ndarray, row: np.ndarray, head: np.ndarray, tail: np.ndarray, width: int) -> np.ndarray:
+    """A hash of all words of each run."""
+    up, down = powers(len(words) + 1, 0xA0761D6478BD642F)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    start, end = first[row] + head, first[row] + tail + width
+    return mix((total[end] - total[start]) * down[start] + (tail - head).astype(np.uint64))
+
+
 def _text_id(column: pa.Array) -> np.ndarray:
     """A 64-bit name of each text, so that rows that share a key but not a text stay apart."""
     out = []
@@ -78,7 +90,7 @@ def _text_id(column: pa.Array) -> np.ndarray:
 
 
 def runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` (doc_id, text) to (doc_id, text_id, rep, head, tail)."""
+    """``docs`` (doc_id, text) to (doc_id, text_id, rep, body, head, tail)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,10 +99,11 @@ def runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
             for lo, hi, data, offsets in blocks(batch.column(1)):
                 words, first = _hashed_words(data, offsets, 0)
                 row, rep, head, tail = runs_of(words, first, width, gram)
-                cols = [ids[lo:hi][row].astype(np.int64), names[lo:hi][row], rep.view(np.int64), head.astype(np.int32), tail.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "text_id", "rep", "head", "tail"])
+                body = run_hashes(words, first, row, head, tail, width)
+                cols = [ids[lo:hi][row].astype(np.int64), names[lo:hi][row], rep.view(np.int64), body.view(np.int64), head.astype(np.int32), tail.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "text_id", "rep", "body", "head", "tail"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "doc_id bigint, text_id bigint, rep bigint, head int, tail int")
+    return docs.where("doc_id is not null").mapInArrow(run, "doc_id bigint, text_id bigint, rep bigint, body bigint, head int, tail int")
 
 
 def suspects(found: DataFrame, depth: int = DEPTH, cells_per_run: int = CELLS_PER_RUN) -> DataFrame:
@@ -137,14 +150,14 @@ def _windows(width: int):
     return run
 
 
-def kept_words(text: bytes, heads: np.ndarray, width: int) -> tuple[int, int, bytes]:
-    """Words, words removed, and the words left, joined by one space."""
+def kept_words(text: bytes, heads: np.ndarray, tails: np.ndarray, width: int) -> tuple[int, int, bytes]:
+    """Words, words under a window that starts at any place from a head to its tail, and the other words, joined by one space."""
     words = text.split()
     if not len(heads):
         return len(words), 0, b" ".join(words)
     spread = np.zeros(len(words) + 1, np.int64)
     np.add.at(spread, heads, 1)
-    np.add.at(spread, np.minimum(heads + width, len(words)), -1)
+    np.add.at(spread, np.minimum(tails + width, len(words)), -1)
     gone = np.cumsum(spread)[:-1] > 0
     return len(words), int(gone.sum()), b" ".join(words[i] for i in np.flatnonzero(~gone))
 
@@ -153,8 +166,8 @@ def _removal(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            heads = batch.column(2)
-            got = [kept_words(expand(batch.column(1)[k].as_py()), np.asarray(heads[k].as_py() or [], np.int64), width) for k in range(batch.num_rows)]
+            places = [[np.asarray(batch.column(c)[k].as_py() or [], np.int64) for c in (2, 3)] for k in range(batch.num_rows)]
+            got = [kept_words(expand(batch.column(1)[k].as_py()), *places[k], width) for k in range(batch.num_rows)]
             cols = [batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2].decode() for g in got], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_text"])
 
@@ -173,14 +186,22 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     if not 0 < gram <= width:
         raise ValueError("a gram is at most as wide as a window")
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = cut_lineage(runs(narrow, width, gram))
-    by_doc = cut_lineage(suspects(found).groupBy("doc_id", "text_id").agg(F.collect_list("head").alias("heads"), F.collect_list("tail").alias("tails")))
+    found = cut_lineage(suspects(cut_lineage(runs(narrow, width, gram))))
+    equal = cut_lineage(found.groupBy("rep", "body").agg(F.min("doc_id").alias("low")))
+    # different runs with one representative may share some windows
+    mixed = equal.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")
+    # runs that an equal run with a smaller id precedes are gone as a whole, and need not stand for their windows
+    named = cut_lineage(found.join(equal, ["rep", "body"]).select("doc_id", "text_id", "rep", "head", "tail", (F.col("doc_id") > F.col("low")).alias("gone")))
+    whole = named.where("gone").select("doc_id", "text_id", "head", "tail")
+    by_doc = named.where("not gone").join(mixed, "rep", "left_semi").groupBy("doc_id", "text_id").agg(F.collect_list("head").alias("heads"), F.collect_list("tail").alias("tails"))
     bodies = _packed(narrow)
     marked = bodies.join(by_doc, ["doc_id", "text_id"]).mapInArrow(_windows(width), "h1 bigint, h2 bigint, doc_id bigint, text_id bigint, at int")
     marked = cut_lineage(marked)
     first = marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    again = marked.join(first, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id", "text_id").agg(F.collect_set("at").alias("gone"))
-    return bodies.join(cut_lineage(again), ["doc_id", "text_id"], "left").select("doc_id", "body", "gone").mapInArrow(_removal(width), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    single = marked.join(first, ["h1", "h2"]).where("doc_id > low").select("doc_id", "text_id", F.col("at").alias("head"), F.col("at").alias("tail"))
+    again = whole.unionAll(single).groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("head", "tail")).alias("gone"))
+    again = again.select("doc_id", "text_id", F.col("gone.head").alias("heads"), F.col("gone.tail").alias("tails"))
+    return bodies.join(cut_lineage(again), ["doc_id", "text_id"], "left").select("doc_id", "body", "heads", "tails").mapInArrow(_removal(width), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
 def op6_substrings(spark: SparkSession, folder: str) -> DataFrame:
