@@ -200,11 +200,9 @@ def _(t):
 
 @query("sort_by_key", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS position FROM orders", i="position")
 def _(t):
-    from skyledger.operators.ranking import cumulative_counts
+    from skyledger.operators.ranking import sort_by_key
 
-    keys = t.orders.select(F.col("o_orderkey").cast("double").alias("k"))
-    pos = cumulative_counts(keys, [], "k").select(F.col("k").cast("long").alias("o_orderkey"), F.col("n_le").alias("position"))
-    return pos.orderBy("o_orderkey")
+    return sort_by_key(t.orders.select("o_orderkey"), "o_orderkey")
 
 
 @query("union_arms", "SELECT o_orderkey, 'high' AS sample FROM orders WHERE o_totalprice >= 400000 UNION ALL SELECT o_orderkey, 'low' FROM orders WHERE o_totalprice < 50000")

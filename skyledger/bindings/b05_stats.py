@@ -235,9 +235,9 @@ def _(t):
     return grids.density_2d(t.lineitem, (F.col("l_extendedprice"), XE), (F.col("l_quantity"), YE))
 
 
-@query("median_per_cell", f"SELECT {bin_sql('l_quantity', YE)} AS ix, {bin_sql('l_discount', [0.0, 0.035, 0.075, 0.2])} AS iy, median(l_extendedprice) AS median, count(*) AS n FROM lineitem WHERE l_quantity < 50 GROUP BY 1, 2 HAVING count(*) >= 3000", r="median", i="ix iy")
+@query("median_per_cell", f"SELECT {bin_sql('l_quantity', [*YE[:-1], 51.0])} AS ix, {bin_sql('l_discount', [0.0, 0.035, 0.075, 0.2])} AS iy, median(l_extendedprice) AS median, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 3000", r="median", i="ix iy")
 def _(t):
-    return grids.median_per_cell(t.lineitem.where("l_quantity < 50"), (F.col("l_quantity"), YE), (F.col("l_discount"), [0.0, 0.035, 0.075, 0.2]), "l_extendedprice", 3000)
+    return grids.median_per_cell(t.lineitem, (F.col("l_quantity"), [*YE[:-1], 51.0]), (F.col("l_discount"), [0.0, 0.035, 0.075, 0.2]), "l_extendedprice", 3000)
 
 
 def pixel_sql(lon: str, lat: str, ns: int) -> str:
@@ -372,13 +372,13 @@ def _(t):
 
 @query(
     "rank_pivot",
-    f"""WITH {RESID}, c AS (SELECT label, catalogue, mag_bin, avg(d) AS b FROM resid WHERE label IN ('A', 'N') GROUP BY 1, 2, 3), r AS (SELECT *, dense_rank() OVER (PARTITION BY label, mag_bin ORDER BY abs(b)) AS k FROM c)
-SELECT catalogue, {', '.join(f"max(k) FILTER (label = '{a}' AND mag_bin = '{m}') AS {a}__{m}" for a in 'AN' for m in ('bright', 'faint', 'intermediate'))} FROM r GROUP BY 1""",
-    i=" ".join(f"{a}__{m}" for a in "AN" for m in ("bright", "faint", "intermediate")),
+    f"""WITH {RESID}, c AS (SELECT label, catalogue, mag_bin, avg(d) AS b FROM resid GROUP BY 1, 2, 3), r AS (SELECT *, dense_rank() OVER (PARTITION BY label, mag_bin ORDER BY abs(b)) AS k FROM c)
+SELECT catalogue, {', '.join(f"max(k) FILTER (label = '{a}' AND mag_bin = '{m}') AS {a}__{m}" for a in 'ANR' for m in ('bright', 'faint', 'intermediate'))} FROM r GROUP BY 1""",
+    i=" ".join(f"{a}__{m}" for a in "ANR" for m in ("bright", "faint", "intermediate")),
 )
 def _(t):
-    cells = resid(t).where("label in ('A', 'N')").groupBy("label", "catalogue", "mag_bin").agg(F.avg("d").alias("bias"), F.stddev_samp("d").alias("scatter"))
-    return rs.rank_pivot(rs.rank_catalogues(cells), "bias_rank", [f"{a}__{m}" for a in "AN" for m in ("bright", "faint", "intermediate")])
+    cells = resid(t).groupBy("label", "catalogue", "mag_bin").agg(F.avg("d").alias("bias"), F.stddev_samp("d").alias("scatter"))
+    return rs.rank_pivot(rs.rank_catalogues(cells), "bias_rank", [f"{a}__{m}" for a in "ANR" for m in ("bright", "faint", "intermediate")])
 
 
 @query("vector_band", "SELECT label, CAST(i - 1 AS INTEGER) AS pos, count(*) AS n, quantile_cont(CAST(embedding[i] AS DOUBLE), 0.5) AS median, quantile_cont(CAST(embedding[i] AS DOUBLE), 0.16) AS p16, quantile_cont(CAST(embedding[i] AS DOUBLE), 0.84) AS p84 FROM embeddings, range(1, 65) r(i) GROUP BY label, i", r="median p16 p84", i="pos")
@@ -484,11 +484,10 @@ def _(t):
     return grids.share_breakdown(df, ["av_los_source", "av_distance_prior_dominated"])
 
 
-@query("coef_correlation", "SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, corr(CAST(embedding[i] AS DOUBLE), CAST(embedding[j] AS DOUBLE)) AS pearson FROM embeddings, range(1, 9) a(i), range(1, 9) b(j) GROUP BY a.i, b.j", r="pearson", i="i j")
+@query("coef_correlation", "SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, corr(CAST(embedding[i] AS DOUBLE), CAST(embedding[j] AS DOUBLE)) AS pearson FROM embeddings, range(1, 65) a(i), range(1, 65) b(j) GROUP BY a.i, b.j", r="pearson", i="i j")
 def _(t):
     from skyledger.operators.learning import coef_correlation
 
-    cols = [f"c{k}" for k in range(8)]
-    return coef_correlation(t.embeddings.select(*[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate(cols)]), cols)
+    return coef_correlation(t.embeddings.select("embedding"), "embedding")
 
 

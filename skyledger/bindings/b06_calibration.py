@@ -384,12 +384,12 @@ def _(t):
     return va.catalogue_consistency(df, "mh_pred", ["x1", "x2"], 0.05)
 
 
-IMP = "imp AS (SELECT i AS feature, abs(corr(CAST(embedding[i] AS DOUBLE), label)) AS importance, stddev_pop(CAST(embedding[i] AS DOUBLE)) AS looco FROM embeddings, range(1, 17) r(i) GROUP BY 1)"
+IMP = "imp AS (SELECT i AS feature, abs(corr(CAST(embedding[i] AS DOUBLE), label)) AS importance, stddev_pop(CAST(embedding[i] AS DOUBLE)) AS looco FROM embeddings, range(1, 65) r(i) GROUP BY 1)"
 
 
 @query("audit_gate", f"WITH {IMP}, n AS (SELECT abs(corr(CAST(embedding[64] AS DOUBLE), label)) AS null_r FROM embeddings) SELECT count(*) FILTER (importance > 0.02) AS n_informative, max(abs(looco)) > 1e-12 AS looco_nontrivial, any_value(null_r) <= 0.2 AS null_ok, any_value(1 - null_r) >= 0.5 AS decorr_ok, count(*) FILTER (importance > 0.02) >= 3 AND max(abs(looco)) > 1e-12 AND any_value(null_r) <= 0.2 AND any_value(1 - null_r) >= 0.5 AS passed FROM imp, n")
 def _(t):
-    long = t.embeddings.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "v")).where("pos < 16")
+    long = t.embeddings.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "v"))
     imp = long.groupBy("pos").agg(F.abs(F.corr("v", "label")).alias("importance"), F.stddev_pop("v").alias("looco"))
     null = t.embeddings.agg(F.abs(F.corr(F.get("embedding", F.lit(63)).cast("double"), "label")).alias("r")).scalar()
     return va.audit_gate(imp, value="importance", looco="looco", null_ratio=null, decorr_ratio=1 - null)

@@ -33,7 +33,7 @@ def _(t):
 @query("dedup_incremental", "SELECT DISTINCT user_id, event_type FROM events")
 def _(t):
     out, check = inc.folders(t.spark, "dedup")
-    return inc.dedup_incremental(events(t).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "60 days", out, check).select("user_id", "event_type")
+    return inc.dedup_incremental(events(t).select("user_id", "event_type", "ts"), ["user_id", "event_type"], [F.col("ts")], out, check).select("user_id", "event_type")
 
 
 @query("checkpointed_compute", "SELECT event_id, user_id % 7 AS part, ln(\"value\" + 1) AS lv FROM events", r="lv", i="part")
@@ -145,9 +145,7 @@ def _(t):
 
 @query("pca_project")
 def _(t):
-    cols = [f"c{k}" for k in range(8)]
-    df = t.embeddings.select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate(cols)])
-    out, share = ml.pca_project(df, cols, 3, ["vec_id"])
+    out, share = ml.pca_project(t.embeddings.select("vec_id", "embedding"), "embedding", 3, ["vec_id"])
     return out.select("vec_id", *[F.round(f"pc{i}", 6).alias(f"pc{i}") for i in (1, 2, 3)], F.lit(round(share, 6)).alias("variance_kept"))
 
 

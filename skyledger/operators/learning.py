@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
+from skyledger.functions.nulls import is_finite
 from skyledger.operators.ranking import hash_rank, join_on_keys
 
 
@@ -99,21 +100,34 @@ def audit_report(df: DataFrame, features: Sequence[str], labels: Sequence[str],
     return out
 
 
-def pca_project(df: DataFrame, columns: Sequence[str], k: int, keep: Sequence[str]) -> tuple[DataFrame, float]:
-    """First k principal components of centred columns and the share of variance they keep."""
-    data = df.dropna(subset=list(columns))
-    mean = data.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    centred = data.select(*keep, *[(F.col(c) - float(mean[c])).alias(c) for c in columns])
-    vec = VectorAssembler(inputCols=list(columns), outputCol="__f").transform(centred)
-    model = PCA(k=k, inputCol="__f", outputCol="__p").fit(vec)
+def _vectors(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
+    """Add ``__f``: the columns, or the one array column, as an ML vector; rows with holes are left out."""
+    names = [columns] if isinstance(columns, str) else list(columns)
+    if isinstance(columns, str):
+        values = F.col(columns).cast("array<double>")
+    else:
+        values = F.array(*[F.col(c).cast("double") for c in names])
+    whole = df.withColumn("__a", values).where(F.col("__a").isNotNull() & F.forall("__a", lambda x: F.coalesce(is_finite(x), F.lit(False))))
+    return whole.withColumn("__f", array_to_vector("__a")).drop("__a")
+
+
+def pca_project(df: DataFrame, columns: str | Sequence[str], k: int, keep: Sequence[str]) -> tuple[DataFrame, float]:
+    """First k principal components of centred columns (or positions of an array column) and the share of variance they keep.
+
+    The sign of each component is fixed: its largest weight is positive.
+    """
+    vec = _vectors(df, columns)
+    centred = StandardScaler(withMean=True, withStd=False, inputCol="__f", outputCol="__c").fit(vec).transform(vec)
+    model = PCA(k=k, inputCol="__c", outputCol="__p").fit(centred)
     share = float(sum(model.explainedVariance.toArray()))
+    axes = model.pc.toArray()
+    signs = [1.0 if axes[abs(axes[:, i]).argmax(), i] > 0 else -1.0 for i in range(k)]
     parts = vector_to_array("__p")
-    return model.transform(vec).select(*keep, *[F.get(parts, F.lit(i)).alias(f"pc{i + 1}") for i in range(k)]), share
+    return model.transform(centred).select(*keep, *[(F.get(parts, F.lit(i)) * signs[i]).alias(f"pc{i + 1}") for i in range(k)]), share
 
 
-def coef_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Correlation matrix of columns as a long table (its size is the column count squared)."""
-    vec = VectorAssembler(inputCols=list(columns), outputCol="__f").transform(df.dropna(subset=list(columns)))
-    m = Correlation.corr(vec.select("__f"), "__f").first()[0].toArray()
-    rows = [(i, j, float(m[i, j])) for i in range(len(columns)) for j in range(len(columns))]
+def coef_correlation(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
+    """Correlation matrix of columns (or positions of an array column) as a long table (its size is the column count squared)."""
+    m = Correlation.corr(_vectors(df, columns).select("__f"), "__f").first()[0].toArray()
+    rows = [(i, j, float(m[i, j])) for i in range(len(m)) for j in range(len(m))]
     return df.sparkSession.createDataFrame(rows, "i int, j int, pearson double")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skyledger.functions.nulls import all_present
+from skyledger.functions.nulls import all_present, finite
 from skyledger.operators.ranking import cumulative_counts, exact_quantiles, join_on_keys
 
 # up to this many columns the covariance and the distance stay plain expressions
@@ -32,29 +32,30 @@ class Envelope:
     ridge: float
 
 
+def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as finite doubles, of rows that have them all."""
+    return df.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns]).where(all_present(*columns))
+
+
 def _moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, means and sample covariance of complete rows."""
+    """Row count, means and sample covariance of complete rows, in one aggregate."""
     k = len(columns)
-    if k > EXPRESSION_LIMIT:
-        raise ValueError(f"more than {EXPRESSION_LIMIT} columns: assemble them into a vector and use fit_vector_envelope")
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).where(all_present(*columns))
-    means = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns]).first()
-    n, mean = means["n"], np.array([means[c] if means[c] is not None else 0.0 for c in columns])
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = [F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]
+    row = _complete(df, columns).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *sums).first()
+    n, mean = row["n"], np.array([row[f"m{i}"] if row[f"m{i}"] is not None else 0.0 for i in range(k)])
     if n < 2:
         return n, mean, np.eye(k)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
     cov = np.zeros((k, k))
-    row = df.agg(*[F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
     for i, j in pairs:
         cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
     return n, mean, cov
 
 
-
 def fit_vector_envelope(df: DataFrame, vector: str, *, p_threshold: float = 0.99, ridge: float = XP_RIDGE) -> Envelope:
     """Envelope of an array column: means per position, then one centred Gram matrix per task, summed by Spark."""
     values = F.col(vector).cast("array<double>")
-    whole = df.select(values.alias("x")).where(~F.exists("x", lambda e: e.isNull() | F.isnan(e)))
+    whole = df.select(values.alias("x")).where(F.forall("x", lambda e: finite(e).isNotNull()))
     means = whole.select(F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n")).collect()
     k = len(means)
     n = means[0]["n"] if means else 0
@@ -110,6 +111,14 @@ def fit_mahalanobis(
 
     Only k means, k*k covariances and one quantile reach the driver.
     """
+    if len(columns) > EXPRESSION_LIMIT:
+        # many columns are fitted as one vector; the means and the precision are the same
+        need = max(len(columns) + 2, min_rows or 0)
+        whole = _complete(df, columns).select(F.array(*columns).alias("__x"))
+        env = fit_vector_envelope(whole, "__x", p_threshold=p_threshold, ridge=ridge)
+        if env.n_training < need:
+            raise ValueError(f"need at least {need} complete rows, got {env.n_training}")
+        return replace(env, columns=tuple(columns))
     n, mean, cov = _moments(df, columns)
     need = max(len(columns) + 2, min_rows or 0)
     if n < need:
@@ -130,7 +139,7 @@ def fit_dual(df: DataFrame, first: Sequence[str], second: Sequence[str], p_thres
 
 def fit_label_envelope(df: DataFrame, columns: Sequence[str], p_threshold: float = 0.99) -> Envelope | None:
     """None when fewer than 100 complete rows exist."""
-    if df.where(all_present(*columns)).limit(LABEL_MIN_ROWS).count() < LABEL_MIN_ROWS:
+    if _complete(df, columns).limit(LABEL_MIN_ROWS).count() < LABEL_MIN_ROWS:
         return None
     return fit_mahalanobis(df, columns, p_threshold=p_threshold)
 
@@ -144,8 +153,8 @@ def fit_kinematic(df: DataFrame, v_r: str, v_t: str, v_z: str, p_threshold: floa
 
 
 def mahalanobis_expression(env: Envelope) -> Column:
-    """Distance as one arithmetic expression; NULL as soon as an input is."""
-    d = [F.col(c).cast("double") - float(m) for c, m in zip(env.columns, env.mean)]
+    """Distance as one arithmetic expression; NULL as soon as an input is NULL, NaN or infinite."""
+    d = [finite(F.col(c).cast("double")) - float(m) for c, m in zip(env.columns, env.mean)]
     k = len(d)
     total = None
     for i in range(k):
@@ -157,6 +166,9 @@ def mahalanobis_expression(env: Envelope) -> Column:
 
 
 def score_mahalanobis(df: DataFrame, env: Envelope, out: str) -> DataFrame:
+    if len(env.columns) > EXPRESSION_LIMIT:
+        vector = df.withColumn("__x", F.array(*[F.col(c).cast("double") for c in env.columns]))
+        return score_vector_envelope(vector, replace(env, columns=("__x",)), out).drop("__x")
     return df.withColumn(out, mahalanobis_expression(env))
 
 

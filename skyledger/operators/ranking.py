@@ -64,10 +64,10 @@ def _value_slots(counted: DataFrame, value: str) -> DataFrame:
     return counted.withColumn("__cuts", sample.scalar()).withColumn("__slot", slot).drop("__cuts")
 
 
-def _counted_slots(df: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
+def _counted_slots(df: DataFrame, keys: Sequence[str], value: Column) -> tuple[DataFrame, DataFrame]:
     counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("__v"))
+        df.where(value.isNotNull())
+        .groupBy(*keys, value.alias("__v"))
         .agg(F.count(F.lit(1)).alias("__c"))
     )
     slotted = _value_slots(counted, "__v")
@@ -100,7 +100,7 @@ def order_statistics(
     NULL value are left out; ``n`` counts the others.
     """
     df, ks = _keyed(df, keys)
-    slotted, sizes = _counted_slots(df, ks, value)
+    slotted, sizes = _counted_slots(df, ks, F.col(value).cast("double"))
     n = F.col("n")
     wanted = F.array(*[f(n).cast("long") for f in ranks.values()])
     first, size = F.col("__before"), F.col("__sc")
@@ -158,9 +158,12 @@ def exact_quantiles_of(
 
 
 def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Every distinct value of each group with its count, the count at or below it, and the group size."""
+    """Every distinct value of each group with its count, the count at or below it, and the group size.
+
+    Values keep their type, so 64-bit keys stay apart.
+    """
     df, ks = _keyed(df, keys)
-    slotted, sizes = _counted_slots(df, ks, value)
+    slotted, sizes = _counted_slots(df, ks, F.col(value))
     inside = W.partitionBy(*ks, "__slot").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
     out = join_on_keys(slotted, sizes, [*ks, "__slot"])
     return out.select(
@@ -172,6 +175,21 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFra
     )
 
 
+def sort_by_key(df: DataFrame, key: str, ties: Sequence[str] = (), position: str = "position") -> DataFrame:
+    """Rows with their 1-based place in the global order of ``key``, NULL first.
+
+    The key keeps its type. Slots cut from a hash sample spread the sort, and
+    slot counts give each slot its first place.
+    """
+    slotted = _value_slots(df.withColumn("__v", F.col(key)), "__v")
+    sizes = slotted.groupBy("__slot").agg(F.count(F.lit(1)).alias("__sc"))
+    running = W.orderBy("__slot").rowsBetween(W.unboundedPreceding, W.currentRow)  # one row a slot
+    sizes = sizes.select("__slot", (F.sum("__sc").over(running) - F.col("__sc")).alias("__before"))
+    inside = W.partitionBy("__slot").orderBy(F.col("__v").asc_nulls_first(), *ties)
+    out = join_on_keys(slotted, sizes, ["__slot"]).withColumn(position, F.col("__before") + F.row_number().over(inside))
+    return out.drop("__v", "__slot", "__before")
+
+
 def hash_rank(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: int | str, rank: str = "rank", size: str | None = None) -> DataFrame:
     """1-based rank of each row inside its group in seeded hash order.
 

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skyledger.functions.binning import bin_index
 from skyledger.operators.ranking import exact_quantiles, join_on_keys
-from skyledger.session import cut_lineage
 
 MAD_TO_SIGMA = 1.4826
 LEVELS = (0.68, 0.95, 0.99)
@@ -35,6 +34,8 @@ def chi2_quantile(p: float, df: int) -> float:
         return total * math.exp(-h + a * math.log(h) - math.lgamma(a))
 
     lo, hi = 1e-9, 1000.0
+    while cdf(hi) < p:
+        lo, hi = hi, 2.0 * hi
     for _ in range(200):
         mid = (lo + hi) / 2.0
         lo, hi = (mid, hi) if cdf(mid) < p else (lo, mid)
@@ -48,8 +49,8 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
 def mad_scatter(df: DataFrame, keys: Sequence[str], value: str, *, median: str = "median", mad: str = "mad_scatter") -> DataFrame:
     """Median and ``1.4826 * median|x - median|`` per group, exact, in two rank passes."""
     df, ks = (df, list(keys)) if keys else (df.withColumn("__mad", F.lit(0)), ["__mad"])
-    # one row per group, written once: the second pass and the result both read it
-    centre = cut_lineage(exact_quantiles(df, ks, value, {median: 0.5}))
+    # lazy: the second pass and the result share the shuffles of the first
+    centre = exact_quantiles(df, ks, value, {median: 0.5})
     dev = join_on_keys(df.select(*ks, value), centre, ks).withColumn("__dev", F.abs(F.col(value) - F.col(median)))
     spread = exact_quantiles(dev, ks, "__dev", {mad: 0.5}).withColumn(mad, F.col(mad) * MAD_TO_SIGMA)
     return join_on_keys(centre, spread, ks).drop("__mad")

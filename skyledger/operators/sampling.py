@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from skyledger.functions.binning import bin_index, cell_code, digitize
 from skyledger.functions.hashing import hash_slot, seeded_hash
+from skyledger.functions.nulls import FLOATS
 from skyledger.operators.ranking import (
     exact_quantiles_of,
     first_per_key,
@@ -20,15 +21,27 @@ from skyledger.operators.ranking import (
 
 
 def dedup_best(
-    df: DataFrame, key: str, sort_by: str, ties: Sequence[str], *, ascending: bool = False, validate: bool = False
+    df: DataFrame, key: str, sort_by: str, ties: Sequence[str], *, ascending: bool = False, validate: bool = True
 ) -> DataFrame:
-    """One row per key, the best sort value, ties broken by the given columns."""
-    if validate:
-        repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        if not df.where(F.col(sort_by).isNull()).isEmpty() and not repeated.isEmpty():
-            raise ValueError(f"cannot deduplicate: missing values in {sort_by!r}")
+    """One row per key, the best sort value, ties broken by the given columns.
+
+    A repeated key with a missing (NULL or NaN) sort value has no best row: the
+    job fails, unless ``validate`` is off, which puts missing values last.
+    """
+    missing = F.col(sort_by).isNull()
+    if isinstance(df.schema[sort_by].dataType, FLOATS):
+        missing = missing | F.isnan(sort_by)
     best = F.asc(sort_by) if ascending else F.desc(sort_by)
-    return first_per_key(df, [key], [best, *[F.asc(t) for t in ties]])
+    order = [best, *[F.asc(t) for t in ties]]
+    if not validate:
+        return first_per_key(df, [key], [missing.asc(), *order])
+    # missing values come first, and two rows a key tell whether it is repeated: one shuffle of at most two rows a key and task
+    by_key = W.partitionBy(key).orderBy(missing.desc(), *order)
+    two = df.withColumn("__rn", F.row_number().over(by_key)).where(F.col("__rn") <= 2)
+    repeated = F.lead(F.lit(True)).over(by_key).isNotNull()
+    two = two.withColumn("__bad", missing & repeated & (F.col("__rn") == 1))
+    refuse = F.raise_error(F.lit(f"cannot deduplicate: missing values in {sort_by!r}")).cast("boolean")
+    return two.where(F.when(F.col("__bad"), refuse).otherwise(F.col("__rn") == 1)).drop("__rn", "__bad")
 
 
 def dedup_histogram(df: DataFrame, key: str) -> DataFrame:

@@ -61,9 +61,11 @@ def load_training_arrays(df: DataFrame, features: Sequence[str], labels: Sequenc
 
 
 def scan_chunks(spark: SparkSession, path: str, columns: Sequence[str], max_bytes: str = "128m") -> DataFrame:
-    """Bounded chunks of a table: its input partitions, numbered in column ``chunk``."""
-    spark.conf.set("spark.sql.files.maxPartitionBytes", max_bytes)
-    return spark.read.parquet(path).select(*columns).withColumn("chunk", F.spark_partition_id())
+    """Bounded chunks of a table: its input partitions, numbered in column ``chunk``.
+
+    The bound is a reader option, so the session keeps its own.
+    """
+    return spark.read.option("maxPartitionBytes", max_bytes).parquet(path).select(*columns).withColumn("chunk", F.spark_partition_id())
 
 
 def detect_input_schema(columns: Sequence[str], scaled: Sequence[str], raw: Sequence[str]) -> str:

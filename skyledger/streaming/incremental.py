@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from skyledger.operators.ranking import first_per_key, join_on_keys
 from skyledger.session import work_folder
 
 
@@ -44,12 +45,30 @@ def running_counters(stream: DataFrame, keys: Sequence[str], counters: dict[str,
     return stream.sparkSession.read.parquet(out)
 
 
-def dedup_incremental(stream: DataFrame, keys: Sequence[str], time: str, delay: str, out: str, checkpoint: str) -> DataFrame:
-    """Keys already seen within the watermark are skipped."""
-    fresh = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
-    fresh = fresh.dropDuplicatesWithinWatermark(list(keys))
-    _finish(fresh.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint))
-    return stream.sparkSession.read.parquet(out)
+def dedup_incremental(stream: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, checkpoint: str, *, time: str | None = None, delay: str | None = None) -> DataFrame:
+    """The first row of each key, whenever it comes; keys already published are skipped, however old they are.
+
+    A micro-batch is reduced to one row per key (``order`` decides) and
+    anti-joined with the keys published by other batches. It overwrites its own
+    folder, so repeating a batch changes nothing. NULL keys count as equal.
+
+    With ``time`` and ``delay`` the memory is bounded instead: rows later than
+    the watermark are dropped, and a key may come back once it has passed it.
+    """
+    spark, names = stream.sparkSession, list(keys)
+    if delay is not None:
+        fresh = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+        _finish(fresh.dropDuplicatesWithinWatermark(names).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint))
+        return spark.read.parquet(out)
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        first = first_per_key(batch, names, order)
+        held = spark.read.parquet(out).where(F.col("batch") != batch_id).select(names)
+        join_on_keys(first, held, names, "left_anti").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    _finish(stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint))
+    return spark.read.parquet(out).drop("batch")
 
 
 def checkpointed_compute(stream: DataFrame, compute: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> DataFrame:

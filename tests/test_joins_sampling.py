@@ -41,8 +41,17 @@ def test_dedup(spark):
     assert {r.s: r.t for r in sm.dedup_best(df, "s", "snr", ["t"], ascending=True).collect()}[1] == 1
     assert {r.multiplicity: r.n_keys for r in sm.dedup_histogram(df, "s").collect()} == {1: 1, 2: 2}
     holes = df.withColumn("snr", F.when(F.col("t") != 2, F.col("snr")))
-    with pytest.raises(ValueError, match="missing values"):
-        sm.dedup_best(holes, "s", "snr", ["t"], validate=True)
+    with pytest.raises(Exception, match="missing values"):
+        sm.dedup_best(holes, "s", "snr", ["t"]).collect()
+    assert {r.s: r.t for r in sm.dedup_best(holes, "s", "snr", ["t"], validate=False).collect()} == {1: 1, 2: 3, 3: 4}
+
+
+def test_dedup_refuses_nan_only_where_a_key_repeats(spark):
+    df = spark.createDataFrame([(1, float("nan"), 1), (1, 2.0, 2), (2, float("nan"), 3), (3, 1.0, 4)], "s long, snr double, t int")
+    with pytest.raises(Exception, match="missing values"):
+        sm.dedup_best(df, "s", "snr", ["t"]).collect()
+    assert {r.s: r.t for r in sm.dedup_best(df.where("t <> 2"), "s", "snr", ["t"]).collect()} == {1: 1, 2: 3, 3: 4}
+    assert {r.s: r.t for r in sm.dedup_best(df, "s", "snr", ["t"], validate=False).collect()} == {1: 2, 2: 3, 3: 4}
 
 
 def test_stratified_cap_drops_outside_and_keeps_small_cells(spark):

@@ -201,3 +201,31 @@ def test_bootstrap_interval_holds_the_mean(spark):
     r = info.bootstrap_ci(df, ["id"], "v", 40, 0)
     r = r.first()
     assert r.ci_lower < 1.3 < r.ci_upper and r.passed and r.ci_upper - r.ci_lower < 0.1
+
+
+def test_envelope_ignores_rows_that_are_not_finite(spark):
+    from skyledger.operators import outliers as od
+
+    rng = np.random.default_rng(3)
+    rows = [tuple(map(float, r)) for r in rng.normal(size=(300, 2))]
+    clean = spark.createDataFrame(rows, "a double, b double")
+    spoilt = clean.unionAll(spark.createDataFrame([(float("nan"), 0.0), (0.0, float("inf"))], "a double, b double"))
+    one, two = (od.fit_mahalanobis(df, ["a", "b"]) for df in (clean, spoilt))
+    assert np.allclose(one.mean, two.mean) and np.allclose(one.precision, two.precision) and abs(one.threshold - two.threshold) < 1e-9
+    far = spark.createDataFrame([(1e9, 0.0), (float("nan"), 0.0), (0.0, 0.0)], "a double, b double")
+    flags = [r.f for r in od.score_mahalanobis(far, two, "d").select(od.mahalanobis_flag("d", two).alias("f")).collect()]
+    assert flags == [True, True, False]
+
+
+def test_envelope_of_many_columns(spark):
+    from skyledger.operators import outliers as od
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 14))
+    names = [f"c{k}" for k in range(14)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{n} double" for n in names))
+    env = od.fit_mahalanobis(df, names)
+    assert env.columns == tuple(names) and np.allclose(env.mean, x.mean(axis=0))
+    d = x - x.mean(axis=0)
+    want = np.sqrt(np.einsum("bi,ij,bj->b", d, np.linalg.inv(np.cov(x.T) + od.XP_RIDGE * np.eye(14)), d))
+    assert np.allclose(sorted(r.d for r in od.score_mahalanobis(df, env, "d").collect()), sorted(want), atol=1e-6)

@@ -73,3 +73,34 @@ def test_order_statistic_rank(spark):
     df = spark.createDataFrame([(float(i),) for i in [5, 1, 4, 2, 3]], "v double")
     out = rk.order_statistics(df, [], "v", {"second": lambda n: F.lit(1), "last": lambda n: n - 1}).first()
     assert (out.second, out["last"], out.n) == (2.0, 5.0, 5)
+
+
+def test_large_keys_stay_apart(spark):
+    base = 4_300_000_000_000_000_001
+    df = spark.createDataFrame([(base + k,) for k in range(5)] + [(base + 2,), (None,)], "k long")
+    counts = {r.k: r.n_le for r in rk.cumulative_counts(df, [], "k").collect()}
+    assert counts == {base: 1, base + 1: 2, base + 2: 4, base + 3: 5, base + 4: 6}
+    placed = sorted((r.position, r.k) for r in rk.sort_by_key(df, "k").collect())
+    assert placed == list(enumerate([None, base, base + 1, base + 2, base + 2, base + 3, base + 4], 1))
+
+
+def test_scatter_plans_without_running(spark):
+    """No job runs while the plan is made."""
+    from skyledger.operators import residuals as rs
+
+    group, tracker = "plan-only", spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group, group)
+    out = rs.mad_scatter(spark.range(1000).selectExpr("id % 3 as g", "cast(id as double) as v"), ["g"], "v")
+    assert len(tracker.getJobIdsForGroup(group)) == 0
+    got = {r.g: (r.median, round(r.mad_scatter / 1.4826, 6)) for r in out.collect()}
+    assert got[1] == (499.0, 249.0)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("df", [900, 950, 1500])
+def test_chi2_quantile_of_many_degrees(df):
+    from skyledger.operators.residuals import chi2_quantile
+
+    # Wilson-Hilferty
+    want = df * (1 - 2 / (9 * df) + 2.3263478740408408 * (2 / (9 * df)) ** 0.5) ** 3
+    assert abs(chi2_quantile(0.99, df) / want - 1) < 1e-3

@@ -33,3 +33,20 @@ def test_entry_contract(spark):
     assert 1 <= df.count() <= 3 and "mean_teff_pred" in df.columns
     qs, sql = entry.queries(), entry.oracle_sql()
     assert len(qs) > 260 and set(sql) <= set(qs)
+
+
+def test_incremental_dedup_keeps_late_new_keys_and_skips_old_ones(spark, tmp_path):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from skyledger.streaming import incremental as inc
+
+    source = str(tmp_path / "in")
+    days = [(1, datetime(2024, 1, 1)), (2, datetime(2024, 3, 1)), (1, datetime(2024, 3, 2)), (3, datetime(2024, 1, 2)), (None, datetime(2024, 1, 3)), (None, datetime(2024, 1, 4))]
+    for row in days:
+        spark.createDataFrame([row], "id long, ts timestamp").coalesce(1).write.mode("append").parquet(source)
+    stream = inc.stream_table(spark, source, max_files=1)
+    out = inc.dedup_incremental(stream, ["id"], [F.col("ts")], str(tmp_path / "out"), str(tmp_path / "check"))
+    got = sorted(((r.id is None, r.id), r.ts.day, r.ts.month) for r in out.collect())
+    assert [g[0][1] for g in got] == [1, 2, 3, None]
