@@ -131,10 +131,21 @@ def held_out(key: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, by: list[str], most: int, seed: str) -> DataFrame:
-    """At most ``most`` rows for each value of ``by``, the first by a hash of doc_id: repeatable, and cut in each task first."""
-    order = Window.partitionBy(*by).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), "text")
-    return df.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
+def bounded_sample(df: DataFrame, by: str, counts: dict, most: int, seed: str) -> DataFrame:
+    """At most ``most`` rows for each value of ``by``, by a hash of doc_id: repeatable.
+
+    ``counts`` has the number of rows of each value (few values). Only a slice
+    of the hash range that holds about four times as many rows as are wanted is
+    put in order, so a frequent value sends no more to its task than a rare one.
+    """
+    cells = 1 << 30
+    share = {k: min(cells, -(-4 * (most + 10) * cells // max(1, n))) for k, n in counts.items()}
+    if not share:
+        return df.limit(0)
+    limits = F.create_map(*(F.lit(x) for item in share.items() for x in item))
+    sliced = df.where(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(cells)) < F.element_at(limits, F.col(by)))
+    order = Window.partitionBy(by).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), "text")
+    return sliced.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
 
 
 def aside(df: DataFrame, names: set[str]):

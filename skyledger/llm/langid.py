@@ -220,11 +220,11 @@ def train(texts: list[str], langs: list[str], seed: int = 3, updates: int = UPDA
 def fit(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Reader:
     """Learn from texts with a language that are not held out: at most ``sample`` of each of the most frequent languages."""
     known = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null and doc_id is not null").where(~held_out(F.col("doc_id"), PARTS, HELD_PART))
-    most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    # ids are sampled first; texts are read only for them
-    chosen = bounded_sample(known.select("doc_id", "lang").withColumn("text", F.lit("")).join(most.select("lang"), "lang", "left_semi"), ["lang"], sample, "langid").select("doc_id").distinct()
-    rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").join(most.select("lang"), "lang", "left_semi")
-    got = bounded_sample(rows, ["lang"], sample, "langid").select("text", "lang").collect()
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    # ids are sampled first, and texts are read only for them: at most ``sample`` ids of each language are broadcast
+    chosen = bounded_sample(known.select("doc_id", "lang").withColumn("text", F.lit("")), "lang", counts, sample, "langid").select("doc_id").distinct()
+    rows = known.join(F.broadcast(chosen), "doc_id", "left_semi")
+    got = bounded_sample(rows, "lang", dict.fromkeys(counts, 0), sample, "langid").select("text", "lang").collect()
     got = sorted((r["lang"], r["text"]) for r in got)
     return train([t for _, t in got], [v for v, _ in got])
 

@@ -180,9 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     known = known.where(~held_out(F.col("doc_id"), PARTS, HELD_PART))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     # at most 2 * sample ids are broadcast
-    chosen = bounded_sample(known.withColumn("text", F.lit("")), ["quality"], sample, "quality").drop("text")
+    chosen = bounded_sample(known.withColumn("text", F.lit("")), "quality", counts, sample, "quality").drop("text")
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    got = bounded_sample(rows, ["quality"], sample, "quality").select("text", "quality")
+    got = bounded_sample(rows, "quality", dict.fromkeys(counts, 0), sample, "quality").select("text", "quality")
     got = sorted((tuple(r["_statistics"]), r["quality"]) for r in described(got).collect())
     x, y = np.array([g[0] for g in got]).reshape(-1, len(STATISTICS)), np.array([g[1] for g in got], float)
     sizes = {k: max(1, int((y == k).sum())) for k in (0, 1)}

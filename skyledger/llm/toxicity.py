@@ -244,8 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: str = "t
     known = known.where(~held_out(F.col("doc_id"), PARTS, HELD_PART))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     # the labels are sampled before their texts are looked up (the factor covers labels without a text), so the broadcast is of 4 * sample ids at most
-    chosen = bounded_sample(known.withColumn("text", F.lit("")), ["toxic"], 2 * sample, seed).drop("text")
-    rows = bounded_sample(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id"), ["toxic"], sample, seed)
+    chosen = bounded_sample(known.withColumn("text", F.lit("")), "toxic", counts, 2 * sample, seed).drop("text")
+    rows = bounded_sample(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id"), "toxic", dict.fromkeys(counts, 0), sample, seed)
     got = rows.select("text", "toxic").orderBy(F.md5(F.concat("text", F.col("toxic").cast("string"))), "toxic").collect()
     sizes = {k: sum(r["toxic"] == k for r in got) for k in (0, 1)}
     return train([r["text"] for r in got], [r["toxic"] for r in got], {k: counts.get(k, 0) / max(1, sizes[k]) for k in (0, 1)})
