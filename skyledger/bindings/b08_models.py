@@ -50,7 +50,7 @@ def _(t):
     # two modes where the solution type differs
     df = stars(t).withColumn("a", F.col("alpha_m") * 0.1 + F.when(F.col("sol") == 3, 0.3).otherwise(0.0))
     out = mx.bimodality_per_cell(df, {"t": ("teff", BOX_T), "l": ("logg", BOX_L), "m": ("mh", BOX_M)}, "a")
-    return out.select("i_t", "i_l", "i_m", "n", "is_bimodal", F.round("minor_weight", 4).alias("minor_weight"), F.round("mean_sep", 4).alias("mean_sep"))
+    return out.select("i_t", "i_l", "i_m", "n", "is_bimodal", F.round("minor_weight", 4).alias("minor_weight"), F.round("mean_sep", 4).alias("mean_sep"), "converged")
 
 
 @query("seeded_mixture")

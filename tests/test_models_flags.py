@@ -43,6 +43,7 @@ def test_bimodality_by_aggregates(spark):
     pdf = pd.DataFrame({"t": np.r_[np.full(400, 0.5), np.full(450, 1.5), np.full(20, 2.5)], "a": np.r_[one, two, few]})
     got = {r.i_t: r for r in mx.bimodality_per_cell(spark.createDataFrame(pdf), {"t": ("t", [0.0, 1.0, 2.0, 3.0])}, "a").collect()}
     assert not got[0].is_bimodal and got[1].is_bimodal and not got[2].is_bimodal
+    assert got[0].converged and got[1].converged and got[2].converged is None
     assert got[1].mean_sep == pytest.approx(0.25, abs=0.01) and got[1].minor_weight == pytest.approx(1 / 3, abs=0.01)
 
 
@@ -51,9 +52,14 @@ def test_seeded_mixture_orders_components(spark):
     pts = np.vstack([rng.normal(m, 0.05, (200, 2)) for m in ([0.25, 0.0], [-0.5, 0.2], [-1.25, 0.2])])
     df = spark.createDataFrame(pd.DataFrame(pts, columns=["mh", "am"]))
     means, covs = mx.seeded_mixture(df, ["mh", "am"])
-    assert [m[0] for m in means] == sorted([m[0] for m in means], reverse=True)
-    share = df.groupBy(mx.gmm_assign(["mh", "am"], means, covs).alias("c")).count().count()
-    assert 1 <= share <= 3
+    for k, (m, c) in enumerate(zip(means, covs)):
+        own = pts[200 * k : 200 * (k + 1)]
+        assert np.allclose(m, own.mean(axis=0), atol=0.01) and np.allclose(c, np.cov(own.T, bias=True), atol=0.001)
+    sizes = {r.c: r["count"] for r in df.groupBy(mx.gmm_assign(["mh", "am"], means, covs).alias("c")).count().collect()}
+    assert sizes == {0: 200, 1: 200, 2: 200}
+    spoilt = df.unionAll(spark.createDataFrame([(float("nan"), 0.0), (None, 1.0)], "mh double, am double"))
+    again, _ = mx.seeded_mixture(spoilt.repartition(5), ["mh", "am"])
+    assert np.allclose(again, means, atol=1e-9)
 
 
 def test_linear_models_and_shuffles(spark):
