@@ -169,17 +169,18 @@ def write_atomic(df: DataFrame, path: str, compression: str = "snappy") -> DataF
 
 
 def write_incremental(parts: Sequence[DataFrame], path: str) -> DataFrame:
-    """Several chunk outputs published by one write."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return write_atomic(out, path)
+    """Chunk outputs appended one after the other: each owns a folder that it overwrites, so repeating a chunk adds nothing."""
+    for number, part in enumerate(parts):
+        part.write.mode("overwrite").parquet(f"{path.rstrip('/')}/chunk={number}")
+    return parts[0].sparkSession.read.option("mergeSchema", "true").parquet(path).drop("chunk")
 
 
-def write_partitioned(df: DataFrame, path: str, by: str, *, rows_per_file: int = 25_000, level: int = 10) -> DataFrame:
+def write_partitioned(df: DataFrame, path: str, by: str, *, group_bytes: int = 16 << 20, level: int = 10) -> DataFrame:
     """Partitioned zstd release; REBALANCE lets AQE split a bin that holds most rows.
 
-    Returns the manifest: rows per partition.
+    Files are sized by bytes (the session's advisory partition size), row groups
+    by ``group_bytes``, so a bin of any size stays a few files per task and can
+    be read in parts. Returns the manifest: rows per partition.
     """
     (
         df.hint("rebalance", by)
@@ -187,7 +188,7 @@ def write_partitioned(df: DataFrame, path: str, by: str, *, rows_per_file: int =
         .partitionBy(by)
         .option("compression", "zstd")
         .option("parquet.compression.codec.zstd.level", str(level))
-        .option("maxRecordsPerFile", rows_per_file)
+        .option("parquet.block.size", group_bytes)
         .parquet(path)
     )
     return df.sparkSession.read.parquet(path).groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -110,3 +110,9 @@ def test_non_positive_parallax_raises(spark):
     df = spark.createDataFrame([(1.0, 2.0, -1.0)], "ra double, dec double, plx double")
     with pytest.raises(Exception, match="non-positive parallax"):
         df.select(*co.eq_to_gal_uvw("ra", "dec", F.lit(1.0), F.lit(1.0), F.lit(1.0), parallax="plx").values()).collect()
+
+
+@pytest.mark.parametrize("wrong", [{"radius": 0.0}, {"radius": float("nan")}, {"radius": -1.0}, {"min_neighbours": 0}])
+def test_ball_join_checks_its_arguments(spark, wrong):
+    with pytest.raises(ValueError):
+        sp.ball_join(spark.createDataFrame([(0.0, 0.0, 0.0, 1.0)], "x double, y double, z double, v double"), list("xyz"), "v", **wrong)
