@@ -45,7 +45,7 @@ RULES = (
     Rule("symbols", "symbol_ratio", most=0.10),
     Rule("marks", "mark_ratio", most=0.30),
     Rule("stop_words", "stop_ratio", least=0.03),
-    Rule("duplicate_lines", "dup_line_ratio", most=0.30),
+    Rule("duplicate_lines", "dup_line_ratio", most=0.40),
     Rule("word_lines", "bar_ratio", most=0.20),
 )
 
