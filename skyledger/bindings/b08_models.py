@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from skyledger.bindings.b04_sampling import NULLS
 from skyledger.bindings.registry import query
-from skyledger.bindings.views import PREDS, STARS, preds, stars, uniform_sql
+from skyledger.bindings.b07_functions import SPH, rot
+from skyledger.bindings.views import PREDS, STARS, md5_sql, preds, stars, uniform_sql
 from skyledger.functions.flags import magnitude_bin
 from skyledger.functions.hashing import hash_uniform
 from skyledger.operators import ensembles as en, learning as ml, mixtures as mx, quality as ql, spatial
@@ -95,13 +96,23 @@ def _(t):
 NV = 7
 
 
-@query("los_integral")
+LOS_SQL = f"""WITH {STARS}, cube AS (SELECT source_id % {NV} AS i, (source_id // {NV}) % {NV} AS j, (source_id // {NV} // {NV}) % {NV} AS k, avg(u3)*1e-3 AS density FROM stars GROUP BY 1, 2, 3),
+ray AS (SELECT source_id, dist_pc AS d, greatest(2, CAST(ceil(dist_pc/400e0) AS BIGINT) + 1) AS n, {rot(0)} AS ux, {rot(1)} AS uy, {rot(2)} AS uz FROM (SELECT *, {SPH} FROM stars) WHERE dist_pc > 0),
+step AS (SELECT source_id, d/(n - 1)*CASE WHEN t = 0 OR t = n - 1 THEN 0.5e0 ELSE 1e0 END AS wt, ux*(d/(n - 1))*t/800 + 3 AS x, uy*(d/(n - 1))*t/800 + 3 AS y, uz*(d/(n - 1))*t/800 + 3 AS z
+  FROM (SELECT *, unnest(range(n)) AS t FROM ray WHERE ux*d/800 + 3 BETWEEN 0 AND {NV - 1} AND uy*d/800 + 3 BETWEEN 0 AND {NV - 1} AND uz*d/800 + 3 BETWEEN 0 AND {NV - 1})),
+base AS (SELECT *, least(CAST(floor(x) AS BIGINT), {NV - 2}) AS bi, least(CAST(floor(y) AS BIGINT), {NV - 2}) AS bj, least(CAST(floor(z) AS BIGINT), {NV - 2}) AS bk FROM step),
+part AS (SELECT source_id, bi + a AS i, bj + b AS j, bk + c AS k, wt*CASE a WHEN 1 THEN x - bi ELSE 1 - (x - bi) END*CASE b WHEN 1 THEN y - bj ELSE 1 - (y - bj) END*CASE c WHEN 1 THEN z - bk ELSE 1 - (z - bk) END AS w FROM base, range(2) r(a), range(2) q(b), range(2) o(c)),
+los AS (SELECT source_id, sum(w*density) AS av_los FROM part JOIN cube USING (i, j, k) GROUP BY 1)
+SELECT source_id, av_los FROM stars LEFT JOIN los USING (source_id)"""
+
+
+@query("los_integral", LOS_SQL, r="av_los")
 def _(t):
     s = stars(t)
     index = [F.pmod(F.col("source_id"), F.lit(NV)), F.pmod(F.floor(F.col("source_id") / NV), F.lit(NV)), F.pmod(F.floor(F.col("source_id") / NV / NV), F.lit(NV))]
     cube = s.groupBy(*[c.alias(n) for c, n in zip(index, "ijk")]).agg((F.avg("u3") * 1e-3).alias("density"))
     out = spatial.los_integral(s.select("source_id", "ra", "dec", "dist_pc"), cube, "source_id", "ra", "dec", "dist_pc", shape=(NV, NV, NV), voxel_pc=800.0, sun=(3.0, 3.0, 3.0), step_pc=400.0)
-    return out.select("source_id", F.round("av_los", 6).alias("av_los"))
+    return out.select("source_id", "av_los")
 
 
 W = [[[0.1, 0.5, -0.2], [1.0, 0.0, 0.3]], [[0.0, 0.6, -0.1], [0.9, 0.1, 0.2]]]
@@ -122,25 +133,61 @@ def noisy(t):
     return stars(t).withColumn("y", 2.0 * F.col("u1") - 1.5 * F.col("u2") + 0.3 * F.col("u3"))
 
 
-@query("baseline_regressor")
+NOISY = f"{STARS}, noisy AS (SELECT source_id, u1, u2, u3, 2e0*u1 - 1.5e0*u2 + 0.3e0*u3 AS y, u2 - 0.2e0*u3 AS y2, CAST(floor(u3*4) AS INTEGER) AS cell FROM stars)"
+
+
+def plane_sql(name: str, source: str, a: str, b: str, y: str) -> str:
+    """Normal equations of y on two columns: coefficients c0, ca, cb."""
+    return f"""{name} AS (SELECT (sbb*say - sab*sby)/(saa*sbb - sab*sab) AS ca, (saa*sby - sab*say)/(saa*sbb - sab*sab) AS cb, my - (sbb*say - sab*sby)/(saa*sbb - sab*sab)*ma - (saa*sby - sab*say)/(saa*sbb - sab*sab)*mb AS c0
+FROM (SELECT avg({a}) AS ma, avg({b}) AS mb, avg({y}) AS my, covar_pop({a}, {a}) AS saa, covar_pop({b}, {b}) AS sbb, covar_pop({a}, {b}) AS sab, covar_pop({a}, {y}) AS say, covar_pop({b}, {y}) AS sby FROM {source}))"""
+
+
+def shuffled_sql(name: str, cell: str = "") -> str:
+    """Values of the row with the same rank in another seeded order, over all rows or inside a cell."""
+    part = f"PARTITION BY {cell} " if cell else ""
+    order = [f"row_number() OVER ({part}ORDER BY {md5_sql(s, 'source_id')}, source_id)" for s in ("0a", "0b")]
+    return f"""{name} AS (SELECT a.*, b.v1, b.v2 FROM (SELECT *, {order[0]} AS r FROM noisy) a JOIN (SELECT cell AS c, u1 AS v1, u2 AS v2, {order[1]} AS r FROM noisy) b ON a.r = b.r{' AND a.cell = b.c' if cell else ''})"""
+
+
+def rms(pred: str, truth: str) -> str:
+    return f"sqrt(avg(pow({pred} - {truth}, 2)))"
+
+
+@query(
+    "baseline_regressor",
+    f"""WITH {NOISY}, fit AS (SELECT * FROM noisy WHERE source_id % 4 <> 0), held AS (SELECT * FROM noisy WHERE source_id % 4 = 0), {plane_sql('p', 'fit', 'u1', 'u3', 'y')},
+o AS (SELECT covar_pop(u3, y)/covar_pop(u3, u3) AS w, avg(y) - covar_pop(u3, y)/covar_pop(u3, u3)*avg(u3) AS c FROM fit),
+e AS (SELECT count(*) AS n, {rms('(c + w*u3)', 'y')} AS rmse_aux, {rms('(c0 + ca*u1 + cb*u3)', 'y')} AS rmse_full FROM held, o, p) SELECT *, rmse_full/rmse_aux AS ratio FROM e""",
+    r="rmse_aux rmse_full ratio",
+)
 def _(t):
     df = noisy(t)
-    out = ml.baseline_regressor(df.where("source_id % 4 <> 0"), df.where("source_id % 4 = 0"), ["u3"], ["u1", "u3"], "y")
-    return out.select("n", *[F.round(c, 6).alias(c) for c in ("rmse_aux", "rmse_full", "ratio")])
+    return ml.baseline_regressor(df.where("source_id % 4 <> 0"), df.where("source_id % 4 = 0"), ["u3"], ["u1", "u3"], "y")
 
 
-@query("permutation_importance")
+def importance_sql(y: str) -> str:
+    """Rows (feature, baseline, permuted) for a regression of y on u1 and u2; needs the tables of NOISY."""
+    return f"""(WITH {plane_sql('p', 'noisy', 'u1', 'u2', y)}, {shuffled_sql('j')}, e AS (SELECT {rms('(c0 + ca*u1 + cb*u2)', y)} AS b, {rms('(c0 + ca*v1 + cb*u2)', y)} AS e1, {rms('(c0 + ca*u1 + cb*v2)', y)} AS e2 FROM j, p)
+SELECT 'u1' AS feature, b AS baseline_rmse, e1 AS permuted_rmse, e1 - b AS importance FROM e UNION ALL SELECT 'u2', b, e2, e2 - b FROM e)"""
+
+
+@query("permutation_importance", f"WITH {NOISY} SELECT * FROM {importance_sql('y')}", r="baseline_rmse permuted_rmse importance")
 def _(t):
     df = noisy(t)
-    out = ml.permutation_importance(df, ml.fit_linear(df, ["u1", "u2"], "y"), ["u1", "u2"], "y", ["source_id"])
-    return out.select("feature", *[F.round(c, 6).alias(c) for c in ("baseline_rmse", "permuted_rmse", "importance")])
+    return ml.permutation_importance(df, ml.fit_linear(df, ["u1", "u2"], "y"), ["u1", "u2"], "y", ["source_id"])
+
+
+def audit_sql(y: str) -> str:
+    return f"""SELECT '{y}' AS label, feature, baseline_rmse, importance, CASE feature WHEN 'u1' THEN l1 ELSE l2 END AS looco_delta_rmse, null_rmse AS shuffled_null_rmse FROM {importance_sql(y)},
+(WITH {plane_sql('p', 'noisy', 'u1', 'u2', y)} SELECT abs(ca)*sqrt(avg(u1*u1)) AS l1, abs(cb)*sqrt(avg(u2*u2)) AS l2 FROM noisy, p GROUP BY ca, cb),
+(WITH {plane_sql('p', 'noisy', 'u1', 'u2', y)}, {shuffled_sql('j', 'cell')} SELECT {rms('(c0 + ca*v1 + cb*u2)', y)} AS null_rmse FROM j, p)"""
 
 
-@query("audit_report")
+@query("audit_report", f"WITH {NOISY} {audit_sql('y')} UNION ALL {audit_sql('y2')}", r="baseline_rmse importance looco_delta_rmse shuffled_null_rmse")
 def _(t):
     df = noisy(t).withColumns({"y2": F.col("u2") - 0.2 * F.col("u3"), "cell": (F.col("u3") * 4).cast("int")})
     out = ml.audit_report(df, ["u1", "u2"], ["y", "y2"], ["u1"], ["cell"], ["source_id"])
-    return out.select("label", "feature", *[F.round(c, 6).alias(c) for c in ("baseline_rmse", "importance", "looco_delta_rmse", "shuffled_null_rmse")])
+    return out.select("label", "feature", "baseline_rmse", "importance", "looco_delta_rmse", "shuffled_null_rmse")
 
 
 @query("pca_project")
