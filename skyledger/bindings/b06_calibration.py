@@ -264,11 +264,22 @@ def _(t):
     return od.score_mahalanobis(p, e, "d").agg(F.count(F.lit(1)).alias("n"), F.count_if(od.mahalanobis_flag("d", e)).alias("n_outside"), F.lit(e.threshold).alias("threshold"))
 
 
-@query("fit_xp_envelope")
+# the inverse by elimination on [covariance + ridge | 1], which needs no pivots
+XP_SQL = """WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+mu AS (SELECT list(m ORDER BY i) AS mu FROM (SELECT i, avg(x[i]) AS m FROM e, range(1, 65) r(i) GROUP BY 1)),
+cov AS (SELECT list(c ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS c FROM (SELECT i, j, covar_samp(x[i], x[j]) + CASE WHEN i = j THEN 1e-6 ELSE 0 END AS c FROM e, range(1, 65) r(i), range(1, 65) s(j) GROUP BY 1, 2) GROUP BY 1)),
+g(k, m) AS (SELECT 1, [list_concat(m[i], [CASE WHEN i = j THEN 1e0 ELSE 0e0 END FOR j IN range(1, 65)]) FOR i IN range(1, 65)] FROM cov UNION ALL
+SELECT k + 1, [CASE WHEN i = k THEN [v/m[k][k] FOR v IN m[k]] ELSE [m[i][j] - m[i][k]/m[k][k]*m[k][j] FOR j IN range(1, 129)] END FOR i IN range(1, 65)] FROM g WHERE k <= 64),
+inv AS (SELECT [p[65:128] FOR p IN m] AS p FROM g WHERE k = 65),
+d AS (SELECT vec_id, sqrt(list_sum([z[i]*list_dot_product(p[i], z) FOR i IN range(1, 65)])) AS score FROM (SELECT vec_id, [x[i] - mu[i] FOR i IN range(1, 65)] AS z FROM e, mu), inv)
+SELECT vec_id, score, score > (SELECT quantile_cont(score, 0.99) FROM d) AS flag FROM d"""
+
+
+@query("fit_xp_envelope", XP_SQL, r="score", digits=5)
 def _(t):
     e = od.fit_vector_envelope(t.embeddings, "embedding")
     out = od.score_vector_envelope(t.embeddings.select("vec_id", "embedding"), e, "d")
-    return out.select("vec_id", F.round("d", 6).alias("score"), od.mahalanobis_flag("d", e).alias("flag"))
+    return out.select("vec_id", F.col("d").alias("score"), od.mahalanobis_flag("d", e).alias("flag"))
 
 
 VEL = f"{STARS}, vel AS (SELECT source_id, 100e0*(u1 - 0.5e0) AS v_r, 120e0 + 160e0*u2 AS v_t, 260e0*(u3 - 0.5e0) AS v_z FROM stars)"

@@ -190,10 +190,27 @@ def _(t):
     return out.select("label", "feature", "baseline_rmse", "importance", "looco_delta_rmse", "shuffled_null_rmse")
 
 
-@query("pca_project")
+def top_axis_sql(i: int, source: str, name: str) -> str:
+    """Largest eigenpair of the 64 x 64 matrix in ``source`` by repeated squaring, and the matrix without it in ``name``."""
+    return f"""q{i}(k, m) AS (SELECT 0, m FROM {source} UNION ALL
+SELECT k + 1, [[list_dot_product(m[i], m[j])/s FOR j IN range(1, 65)] FOR i IN range(1, 65)] FROM (SELECT k, m, list_sum([list_dot_product(m[i], m[i]) FOR i IN range(1, 65)]) AS s FROM q{i} WHERE k < 22)),
+r{i} AS (SELECT m[list_position([m[i][i] FOR i IN range(1, 65)], list_max([m[i][i] FOR i IN range(1, 65)]))] AS v FROM q{i} WHERE k = 22),
+v{i} AS (SELECT [x/sqrt(list_dot_product(v, v)) * CASE WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END FOR x IN v] AS v FROM r{i}),
+{name} AS (SELECT v, l, [[m[i][j] - l*v[i]*v[j] FOR j IN range(1, 65)] FOR i IN range(1, 65)] AS m FROM (SELECT v, m, list_sum([v[i]*list_dot_product(m[i], v) FOR i IN range(1, 65)]) AS l FROM (SELECT a.v, b.m FROM v{i} a, {source} b)))"""
+
+
+COVARIANCE = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+mu AS (SELECT list(m ORDER BY i) AS mu FROM (SELECT i, avg(x[i]) AS m FROM e, range(1, 65) r(i) GROUP BY 1)),
+cov AS (SELECT list(c ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS c FROM (SELECT i, j, covar_samp(x[i], x[j]) AS c FROM e, range(1, 65) r(i), range(1, 65) s(j) GROUP BY 1, 2) GROUP BY 1))"""
+PCA_SQL = f"""WITH RECURSIVE {COVARIANCE}, {top_axis_sql(1, 'cov', 'c1')}, {top_axis_sql(2, 'c1', 'c2')}, {top_axis_sql(3, 'c2', 'c3')},
+z AS (SELECT vec_id, [x[i] - mu[i] FOR i IN range(1, 65)] AS z FROM e, mu)
+SELECT vec_id, list_dot_product(z, c1.v) AS pc1, list_dot_product(z, c2.v) AS pc2, list_dot_product(z, c3.v) AS pc3, (c1.l + c2.l + c3.l)/(SELECT list_sum([m[i][i] FOR i IN range(1, 65)]) FROM cov) AS variance_kept FROM z, c1, c2, c3"""
+
+
+@query("pca_project", PCA_SQL, r="pc1 pc2 pc3 variance_kept", digits=5)
 def _(t):
     out, share = ml.pca_project(t.embeddings.select("vec_id", "embedding"), "embedding", 3, ["vec_id"])
-    return out.select("vec_id", *[F.round(f"pc{i}", 6).alias(f"pc{i}") for i in (1, 2, 3)], F.lit(round(share, 6)).alias("variance_kept"))
+    return out.select("vec_id", "pc1", "pc2", "pc3", F.lit(share).alias("variance_kept"))
 
 
 # quality
