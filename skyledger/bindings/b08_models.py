@@ -54,7 +54,21 @@ def _(t):
     return out.select("i_t", "i_l", "i_m", "n", "is_bimodal", F.round("minor_weight", 4).alias("minor_weight"), F.round("mean_sep", 4).alias("mean_sep"), "converged")
 
 
-@query("seeded_mixture")
+SEEDS = ", ".join(f"({q}, {a!r}e0, {b!r}e0)" for q, (a, b) in enumerate(mx.SEED_MEANS))
+MIXTURE_SQL = f"""WITH RECURSIVE {STARS}, whole AS (SELECT source_id, CAST(mh AS DOUBLE) AS a, CAST(alpha_m AS DOUBLE) AS b FROM stars), m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM whole WHERE a IS NOT NULL AND b IS NOT NULL),
+z AS (SELECT source_id, (a - ma)/sa AS x, (b - mb)/sb AS y FROM whole, m WHERE a IS NOT NULL AND b IS NOT NULL),
+em(step, q, w, mx, my, cxx, cxy, cyy, ll, gain) AS (SELECT 0, q, 1e0/3, (s1 - ma)/sa, (s2 - mb)/sb, 1e0, 0e0, 1e0, -1e300, 1e0 FROM (VALUES {SEEDS}) v(q, s1, s2), m UNION ALL
+SELECT step + 1, q, r/n, x, y, xx/r - x*x + 1e-6, xy/r - x*y, yy/r - y*y + 1e-6, lp, lp - ll FROM (
+SELECT step, q, any_value(ll) AS ll, count(*) AS n, sum(r) AS r, sum(r*x)/sum(r) AS x, sum(r*y)/sum(r) AS y, sum(r*x*x) AS xx, sum(r*x*y) AS xy, sum(r*y*y) AS yy, avg(lp) AS lp FROM (
+SELECT *, exp(l - lp) AS r FROM (SELECT *, top + ln(sum(exp(l - top)) OVER (PARTITION BY source_id)) AS lp FROM (SELECT *, max(l) OVER (PARTITION BY source_id) AS top FROM (
+SELECT source_id, x, y, step, q, ll, ln(w) - ln(2*pi()) - 0.5e0*ln(cxx*cyy - cxy*cxy) - 0.5e0*(cyy*(x - mx)*(x - mx) - 2*cxy*(x - mx)*(y - my) + cxx*(y - my)*(y - my))/(cxx*cyy - cxy*cxy) AS l
+FROM z, em WHERE abs(gain) >= 1e-3 AND step < 400)))) GROUP BY step, q)),
+last AS (SELECT * FROM em WHERE step = (SELECT max(step) FROM em)),
+best AS (SELECT source_id, arg_max(q, -ln(cxx*cyy - cxy*cxy) - (cyy*(x - mx)*(x - mx) - 2*cxy*(x - mx)*(y - my) + cxx*(y - my)*(y - my))/(cxx*cyy - cxy*cxy)) AS component FROM z, last GROUP BY 1)
+SELECT component, count(*) AS n FROM whole LEFT JOIN best USING (source_id) GROUP BY 1"""
+
+
+@query("seeded_mixture", MIXTURE_SQL, i="component")
 def _(t):
     df = stars(t).select("source_id", "mh", "alpha_m")
     means, covs = mx.seeded_mixture(df, ["mh", "alpha_m"])
