@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyledger.bindings.b04_sampling import NULLS
 from skyledger.bindings.registry import query
+from skyledger.bindings.b05_stats import bin_sql
 from skyledger.bindings.b07_functions import SPH, rot
 from skyledger.bindings.views import PREDS, STARS, md5_sql, preds, stars, uniform_sql
 from skyledger.functions.flags import magnitude_bin
@@ -46,12 +47,30 @@ def _(t):
 BOX_T, BOX_L, BOX_M = [3300.0, 4300.0, 5300.0, 6301.0], [0.0, 2.3, 4.61], [-2.4, -0.9, 0.61]
 
 
-@query("bimodality_per_cell")
+def log_normal_sql(m: str, v: str) -> str:
+    return f"(-0.5e0*(ln(2*pi()*{v}) + (x - {m})*(x - {m})/{v}))"
+
+
+BIMODAL_SQL = f"""WITH RECURSIVE {STARS}, b AS (SELECT * FROM (SELECT {bin_sql('teff', BOX_T)} AS i_t, {bin_sql('logg', BOX_L)} AS i_l, {bin_sql('mh', BOX_M)} AS i_m, CAST(alpha_m*0.1e0 + CASE WHEN sol = 3 THEN 0.3e0 ELSE 0e0 END AS DOUBLE) AS x FROM stars) WHERE i_t IS NOT NULL AND i_l IS NOT NULL AND i_m IS NOT NULL AND x IS NOT NULL),
+m AS (SELECT i_t, i_l, i_m, count(*) AS n, avg(x) AS mean, var_pop(x) AS var FROM b GROUP BY 1, 2, 3),
+d AS (SELECT i_t, i_l, i_m, x - mean AS x FROM b JOIN m USING (i_t, i_l, i_m) WHERE n >= 50 AND var > 0),
+em(step, i_t, i_l, i_m, start, w, m1, m2, v1, v2, ll, gain) AS (SELECT 0, i_t, i_l, i_m, start, 0.5e0, lo*sqrt(var), hi*sqrt(var), var, var, -1e300, 1e0 FROM m, (VALUES {', '.join(f'({k}, {a!r}e0, {b!r}e0)' for k, (a, b) in enumerate(mx.STARTS))}) v(start, lo, hi) WHERE n >= 50 AND var > 0 UNION ALL
+SELECT step + 1, i_t, i_l, i_m, start, r1/n, rx/r1, (sx - rx)/(n - r1), greatest(rxx/r1 - (rx/r1)*(rx/r1), 0) + 1e-5, greatest((sxx - rxx)/(n - r1) - ((sx - rx)/(n - r1))*((sx - rx)/(n - r1)), 0) + 1e-5, lp, (lp - ll)/n FROM (
+SELECT step, i_t, i_l, i_m, start, any_value(ll) AS ll, count(*) AS n, least(greatest(sum(r), 1e-9), count(*) - 1e-9) AS r1, sum(r*x) AS rx, sum(r*x*x) AS rxx, sum(x) AS sx, sum(x*x) AS sxx, sum(lp) AS lp FROM (
+SELECT *, exp(a - lp) AS r FROM (SELECT *, greatest(a, c) + ln(exp(a - greatest(a, c)) + exp(c - greatest(a, c))) AS lp FROM (
+SELECT *, ln(w) + {log_normal_sql('m1', 'v1')} AS a, ln(1 - w) + {log_normal_sql('m2', 'v2')} AS c FROM em JOIN d USING (i_t, i_l, i_m) WHERE abs(gain) >= 1e-3 AND step < 100))) GROUP BY step, i_t, i_l, i_m, start)),
+fin AS (SELECT * FROM em QUALIFY row_number() OVER (PARTITION BY i_t, i_l, i_m, start ORDER BY step DESC) = 1),
+top AS (SELECT * FROM fin QUALIFY row_number() OVER (PARTITION BY i_t, i_l, i_m ORDER BY ll DESC, start) = 1),
+fit AS (SELECT *, least(w, 1 - w) AS minor_weight, abs(m1 - m2) AS mean_sep, abs(gain) < 1e-3 AS converged FROM top)
+SELECT i_t, i_l, i_m, n, coalesce(-2*ll + 5*ln(n) + 4 < n*(ln(2*pi()*var) + 1) + 2*ln(n) AND minor_weight >= 0.15 AND mean_sep >= 0.08, false) AS is_bimodal, minor_weight, mean_sep, converged FROM m LEFT JOIN fit USING (i_t, i_l, i_m)"""
+
+
+@query("bimodality_per_cell", BIMODAL_SQL, r="minor_weight mean_sep", digits=4, i="i_t i_l i_m")
 def _(t):
     # two modes where the solution type differs
     df = stars(t).withColumn("a", F.col("alpha_m") * 0.1 + F.when(F.col("sol") == 3, 0.3).otherwise(0.0))
     out = mx.bimodality_per_cell(df, {"t": ("teff", BOX_T), "l": ("logg", BOX_L), "m": ("mh", BOX_M)}, "a")
-    return out.select("i_t", "i_l", "i_m", "n", "is_bimodal", F.round("minor_weight", 4).alias("minor_weight"), F.round("mean_sep", 4).alias("mean_sep"), "converged")
+    return out.select("i_t", "i_l", "i_m", "n", "is_bimodal", "minor_weight", "mean_sep", "converged")
 
 
 SEEDS = ", ".join(f"({q}, {a!r}e0, {b!r}e0)" for q, (a, b) in enumerate(mx.SEED_MEANS))
