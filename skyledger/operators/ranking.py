@@ -216,6 +216,39 @@ def hash_rank(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: int
     return out.drop("__h", "__slot", "__before", "__n", "__all")
 
 
+def hash_cut(
+    df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: int | str, cuts: Callable[[DataFrame], DataFrame], part: str = "part"
+) -> DataFrame:
+    """Divide each group at given ranks of its seeded hash order, without ranking or moving its rows.
+
+    ``cuts`` takes one row per group (keys and ``n``) and returns those groups
+    that are wanted with an array ``cuts`` of rising ranks; a row at or before
+    the first is in part 0, at or before the second in part 1, and so on. Slot
+    counts tell in which slot a cut falls; only the hashes of those slots are
+    ordered, and their values at the cuts are compared with every row where it
+    is. ``ids`` must identify a row: rows that share them are not separated.
+    """
+    df, ks = _keyed(df, keys)
+    hashed = df.withColumn("__h", seeded_hash(seed, *ids)).withColumn("__slot", hash_slot(F.col("__h")))
+    counts = hashed.groupBy(*ks, "__slot").agg(F.count(F.lit(1)).alias("__sc"))
+    wanted = cuts(counts.groupBy(*ks).agg(F.sum("__sc").alias("n"))).select(*ks, F.transform("cuts", lambda c: F.least(c.cast("long"), F.col("n"))).alias("__cuts"))
+    running = W.partitionBy(*ks).orderBy("__slot").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counts = counts.withColumn("__before", F.sum("__sc").over(running) - F.col("__sc"))
+    edges = join_on_keys(counts, wanted, ks).select(*ks, "__slot", "__sc", "__before", F.posexplode("__cuts").alias("__i", "__c"))
+    edges = edges.where((F.col("__c") > F.col("__before")) & (F.col("__c") <= F.col("__before") + F.col("__sc")))
+    near = join_on_keys(hashed.select(*ks, "__slot", "__h"), edges, [*ks, "__slot"])
+    place = F.row_number().over(W.partitionBy(*ks, "__slot", "__i").orderBy("__h"))
+    found = near.withColumn("__r", place).where(F.col("__r") == F.col("__c") - F.col("__before"))
+    found = found.groupBy(*ks).agg(F.map_from_entries(F.collect_list(F.struct("__i", "__h"))).alias("__at"))  # one entry a cut
+    points = join_on_keys(wanted, found, ks, "left").select(*ks, F.transform("__cuts", lambda c, i: F.element_at("__at", i)).alias("__points"))
+    if keys:
+        met = join_on_keys(hashed, points, ks)
+    else:
+        met = hashed.withColumn("__points", one_row(points.select("__points"))["__points"]).where(F.col("__points").isNotNull())
+    later = F.filter("__points", lambda p: F.coalesce(F.col("__h") > p, F.lit(True)))
+    return met.withColumn(part, F.size(later)).drop("__h", "__slot", "__points", "__all")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in the given order.
 
@@ -229,7 +262,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 def hash_top_k(df: DataFrame, keys: Sequence[str], ids: Sequence[str], k: int, seed: int | str) -> DataFrame:
     """At most ``k`` rows per group in seeded hash order, all of the group when it is smaller."""
     if k > GROUP_LIMIT:
-        return hash_rank(df, keys, ids, seed, "__rank").where(F.col("__rank") <= k).drop("__rank")
+        return hash_cut(df, keys, ids, seed, lambda g: g.withColumn("cuts", F.array(F.lit(k))), "__part").where("__part = 0").drop("__part")
     df, ks = _keyed(df, keys)
     order = [seeded_hash(seed, *ids), *[F.col(i) for i in ids]]
     rank = F.row_number().over(W.partitionBy(*ks).orderBy(*order))

@@ -12,7 +12,7 @@ from skyledger.functions.nulls import FLOATS
 from skyledger.operators.ranking import (
     exact_quantiles_of,
     first_per_key,
-    hash_rank,
+    hash_cut,
     hash_top_k,
     join_on_keys,
     one_row,
@@ -98,7 +98,7 @@ def cell_counts(df: DataFrame, axes: Mapping[str, tuple[str, Sequence[float]]],
 def volume_limited(df: DataFrame, distance: str, cut: float, ids: Sequence[str], n_target: int, seed: int) -> DataFrame:
     """Rows nearer than the cut; a seeded sample of ``n_target`` when there are more."""
     near = df.where(F.col(distance) < cut)
-    return hash_rank(near, [], ids, seed, "__rank").where(F.col("__rank") <= n_target).drop("__rank")
+    return seeded_sample(near, ids, n_target, seed)
 
 
 def target_fill(cells: DataFrame, target: int) -> DataFrame:
@@ -168,11 +168,12 @@ def stratified_split(
 ) -> DataFrame:
     """Train/val/test inside each joint quantile cell, cut points rounded half to even."""
     cells = bin_by_cells(df, columns, [n_bins] * len(columns), ids, seed=seed, out="__cell")
-    ranked = hash_rank(cells, ["__cell"], ids, seed, "__rank", "__size")
-    train = F.bround(F.col("__size") * fractions[0], 0)
-    val = F.bround(F.col("__size") * (fractions[0] + fractions[1]), 0)
-    part = F.when(F.col("__rank") <= train, "train").when(F.col("__rank") <= val, "val").otherwise("test")
-    return ranked.withColumn(out, part).drop("__cell", "__rank", "__size")
+
+    def cuts(groups: DataFrame) -> DataFrame:
+        return groups.withColumn("cuts", F.array(*[F.bround(F.col("n") * f, 0) for f in (fractions[0], fractions[0] + fractions[1])]))
+
+    parted = hash_cut(cells, ["__cell"], ids, seed, cuts, "__part")
+    return parted.withColumn(out, F.get(F.lit(["train", "val", "test"]), "__part")).drop("__cell", "__part")
 
 
 def decorrelated_sample(df: DataFrame, label: str, priors: Sequence[str], ids: Sequence[str], *, n_bins: int = 4, seed: int = 0) -> DataFrame:
@@ -181,12 +182,12 @@ def decorrelated_sample(df: DataFrame, label: str, priors: Sequence[str], ids: S
     binned = quantile_bin(df, cols, [n_bins] * len(cols), ids, seed=seed)
     binned = binned.withColumn("__cell", cell_code([f"q_{p}" for p in priors], [n_bins] * len(priors)))
     binned = binned.withColumnRenamed(f"q_{label}", "__bin").drop(*[f"q_{p}" for p in priors])
-    counts = binned.groupBy("__cell", "__bin").agg(F.count(F.lit(1)).alias("n"))
-    targets = counts.groupBy("__cell").agg(F.min("n").alias("__target"), F.count(F.lit(1)).alias("bins"))
-    targets = targets.where(F.col("bins") == n_bins).drop("bins")
-    ranked = hash_rank(binned, ["__cell", "__bin"], ids, seed, "__rank")
-    kept = ranked.join(targets, "__cell").where(F.col("__rank") <= F.col("__target"))
-    return kept.drop("__cell", "__bin", "__rank", "__target")
+
+    def cuts(groups: DataFrame) -> DataFrame:
+        targets = groups.groupBy("__cell").agg(F.min("n").alias("__target"), F.count(F.lit(1)).alias("bins")).where(F.col("bins") == n_bins)
+        return groups.join(targets, "__cell").withColumn("cuts", F.array("__target"))
+
+    return hash_cut(binned, ["__cell", "__bin"], ids, seed, cuts, "__part").where("__part = 0").drop("__cell", "__bin", "__part")
 
 
 def inverse_freq_weights(df: DataFrame, column: str, edges: Sequence[float], clip: float, out: str = "weight") -> DataFrame:
@@ -202,7 +203,8 @@ def inverse_freq_weights(df: DataFrame, column: str, edges: Sequence[float], cli
 
 
 def seeded_sample(df: DataFrame, ids: Sequence[str], n: int, seed: int) -> DataFrame:
-    return hash_rank(df, [], ids, seed, "__rank").where(F.col("__rank") <= n).drop("__rank")
+    """The first ``n`` rows in seeded hash order (``ids`` identify a row)."""
+    return hash_cut(df, [], ids, seed, lambda g: g.withColumn("cuts", F.array(F.lit(n))), "__part").where("__part = 0").drop("__part")
 
 
 def rows_per_key(df: DataFrame, key: str, out: str = "n_rows") -> DataFrame:

@@ -104,3 +104,21 @@ def test_chi2_quantile_of_many_degrees(df):
     # Wilson-Hilferty
     want = df * (1 - 2 / (9 * df) + 2.3263478740408408 * (2 / (9 * df)) ** 0.5) ** 3
     assert abs(chi2_quantile(0.99, df) / want - 1) < 1e-3
+
+
+def test_cuts_equal_ranks_and_move_no_payload(spark):
+    """Each group divided at 0, a third, all and more than all of it, against the ranks; one group is hot."""
+    df = spark.range(5000).selectExpr("id", "case when id < 4000 then 0 when id % 7 = 0 then null else id % 5 end as g", "repeat('x', 50) as payload")
+
+    def cuts(groups):
+        return groups.withColumn("cuts", F.array(F.lit(0), F.floor(F.col("n") / 3), F.col("n"), F.col("n") + 5))
+
+    got = {r.id: r.part for r in rk.hash_cut(df, ["g"], ["id"], 3, cuts).collect()}
+    for r in rk.hash_rank(df, ["g"], ["id"], 3, "rank", "size").collect():
+        assert got[r.id] == (1 if r.rank <= r.size // 3 else 2)
+    top = rk.hash_cut(df, [], ["id"], 3, lambda g: g.withColumn("cuts", F.array(F.lit(1200)))).where("part = 0")
+    want = {r.id for r in rk.hash_rank(df, [], ["id"], 3, "rank").where("rank <= 1200").collect()}
+    assert {r.id for r in top.collect()} == want
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan.split("scalar-subquery")[0] and "Join" not in plan.split("scalar-subquery")[0]
+    assert rk.hash_cut(df.limit(0), ["g"], ["id"], 3, cuts).count() == 0
