@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,7 +15,6 @@ from skyledger.operators.ranking import exact_quantiles
 from skyledger.session import cut_lineage
 
 K_SUMMARY, K_GATE, GATE_QUANTILE = 50, 10, 0.99
-MAX_PIVOTS = 256
 DIGITS = 10
 SLACK = 1e-6
 
@@ -55,8 +55,9 @@ def knn_join(
         whole = ~F.exists("v", lambda e: e.isNull() | F.isnan(e))
         r, q = r.where(whole), q.where(whole)
     if pivots is None:
-        pivots = min(MAX_PIVOTS, max(1, refs.count() // (4 * block)))
-    # at most MAX_PIVOTS vectors come to the driver
+        # cells and their number both grow with the root of the table, so the plan is the same at every size
+        pivots = max(1, math.ceil(math.sqrt(refs.count()) / 2))
+    # half the root of the table comes to the driver
     chosen = r.orderBy(F.xxhash64("rid"), "rid").limit(pivots).collect()
     if not chosen:
         return q.select(F.col("qid").alias(query_id), F.lit(None).cast("long").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)

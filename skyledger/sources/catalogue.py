@@ -175,12 +175,12 @@ def write_incremental(parts: Sequence[DataFrame], path: str) -> DataFrame:
     return parts[0].sparkSession.read.option("mergeSchema", "true").parquet(path).drop("chunk")
 
 
-def write_partitioned(df: DataFrame, path: str, by: str, *, group_bytes: int = 16 << 20, level: int = 10) -> DataFrame:
+def write_partitioned(df: DataFrame, path: str, by: str, *, rows_per_group: int = 25_000, level: int = 10) -> DataFrame:
     """Partitioned zstd release; REBALANCE lets AQE split a bin that holds most rows.
 
-    Files are sized by bytes (the session's advisory partition size), row groups
-    by ``group_bytes``, so a bin of any size stays a few files per task and can
-    be read in parts. Returns the manifest: rows per partition.
+    Files are sized by bytes (the session's advisory partition size) and hold
+    row groups of at most ``rows_per_group``, so a bin of any size stays a few
+    files per task and can be read in parts. Returns the manifest: rows per partition.
     """
     (
         df.hint("rebalance", by)
@@ -188,7 +188,7 @@ def write_partitioned(df: DataFrame, path: str, by: str, *, group_bytes: int = 1
         .partitionBy(by)
         .option("compression", "zstd")
         .option("parquet.compression.codec.zstd.level", str(level))
-        .option("parquet.block.size", group_bytes)
+        .option("parquet.block.row.count.limit", str(rows_per_group))
         .parquet(path)
     )
     return df.sparkSession.read.parquet(path).groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"))

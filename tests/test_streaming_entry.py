@@ -50,3 +50,20 @@ def test_incremental_dedup_keeps_late_new_keys_and_skips_old_ones(spark, tmp_pat
     out = inc.dedup_incremental(stream, ["id"], [F.col("ts")], str(tmp_path / "out"), str(tmp_path / "check"))
     got = sorted(((r.id is None, r.id), r.ts.day, r.ts.month) for r in out.collect())
     assert [g[0][1] for g in got] == [1, 2, 3, None]
+
+
+def test_chunks_append_once_and_releases_have_row_groups(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from skyledger.sources import catalogue as cat
+
+    parts = [spark.range(10), spark.range(10, 15)]
+    for _ in range(2):  # repeating the run adds nothing
+        assert sorted(r.id for r in cat.write_incremental(parts, str(tmp_path / "inc")).collect()) == list(range(15))
+    assert cat.write_incremental([spark.range(10), spark.range(20, 21)], str(tmp_path / "inc")).count() == 11
+    rows = spark.range(7000).selectExpr("id", "id % 2 as b")
+    assert {r.b: r.n_rows for r in cat.write_partitioned(rows, str(tmp_path / "rel"), "b", rows_per_group=1000).collect()} == {0: 3500, 1: 3500}
+    sizes = [m.row_group(k).num_rows for f in glob.glob(f"{tmp_path}/rel/*/*.parquet") for m in [pq.ParquetFile(f).metadata] for k in range(m.num_row_groups)]
+    assert max(sizes) <= 1000 and sum(sizes) == 7000
