@@ -76,6 +76,51 @@ def zero_point(mag: Column, table: Sequence[tuple[float, float, float]]) -> Colu
     return base + slope * (mag - edge_value(i, edges))
 
 
+# Centres and limits of the colour and latitude terms of the published zero point.
+NU_CENTRE, NU_HALF_RANGE, NU_RED, NU_BLUE = 1.48, 0.24, 1.24, 1.72
+
+
+def zero_point_terms(nu: Column, latitude_deg: Column) -> tuple[list[Column], list[Column]]:
+    """Basis functions in effective wavenumber (or pseudocolour) and in ecliptic latitude."""
+    low = NU_CENTRE - nu
+    colour = [
+        F.lit(1.0),
+        F.greatest(F.lit(-NU_HALF_RANGE), F.least(F.lit(NU_HALF_RANGE), -low)),
+        F.pow(F.least(F.lit(NU_HALF_RANGE), F.greatest(F.lit(0.0), low)), F.lit(3.0)),
+        F.least(F.lit(0.0), nu - NU_RED),
+        F.greatest(F.lit(0.0), nu - NU_BLUE),
+    ]
+    sine = F.sin(F.radians(latitude_deg))
+    return colour, [F.lit(1.0), sine, sine * sine - 1.0 / 3.0]
+
+
+def zero_point_of(mag: Column, nu: Column, latitude_deg: Column, edges: Sequence[float], coefficients: Mapping[tuple[int, int], Sequence[float]]) -> Column:
+    """Zero point on all its axes from a caller's table.
+
+    ``coefficients[j, k]`` holds the factor of colour term j and latitude term k
+    at each magnitude edge; between edges it is linear, outside it stays. NULL
+    where an input that a factor needs is NULL.
+    """
+    colour, latitude = zero_point_terms(nu, latitude_deg)
+    m = F.greatest(F.lit(float(edges[0])), F.least(F.lit(float(edges[-1])), mag))
+    i = F.least(F.greatest(digitize(m, edges) - 1, F.lit(0)), F.lit(len(edges) - 2))
+    share = (m - edge_value(i, edges)) / (edge_value(i + 1, edges) - edge_value(i, edges))
+    total = F.when(mag.isNotNull(), F.lit(0.0))
+    for (j, k), values in coefficients.items():
+        q = edge_value(i, values) * (1.0 - share) + edge_value(i + 1, values) * share
+        factor = q
+        for j_or_k, terms in ((j, colour), (k, latitude)):
+            factor = factor * terms[j_or_k] if j_or_k else factor
+        total = total + factor
+    return total
+
+
+def parallax_correction_of(df: DataFrame, five: Column, six: Column, *, parallax: str = "parallax", solution: str = "astrometric_params_solved", zpt: str = "parallax_zpt", out: str = "parallax_corr") -> DataFrame:
+    """Subtract the zero point of the solution's own kind; other solutions keep their parallax."""
+    zp = F.when(F.col(solution) == FIVE_PARAMETER, five).when(F.col(solution) == SIX_PARAMETER, six)
+    return df.withColumn(zpt, zp).withColumn(out, F.col(parallax) - F.coalesce(F.col(zpt), F.lit(0.0)))
+
+
 def parallax_correction(
     df: DataFrame,
     table: Sequence[tuple[float, float, float]],

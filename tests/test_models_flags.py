@@ -235,3 +235,39 @@ def test_envelope_of_many_columns(spark):
     d = x - x.mean(axis=0)
     want = np.sqrt(np.einsum("bi,ij,bj->b", d, np.linalg.inv(np.cov(x.T) + od.XP_RIDGE * np.eye(14)), d))
     assert np.allclose(sorted(r.d for r in od.score_mahalanobis(df, env, "d").collect()), sorted(want), atol=1e-6)
+
+
+def test_zero_point_on_all_axes(spark):
+    edges = [6.0, 10.8, 11.2, 21.0]
+    q = {(0, 0): [-26.0, -27.0, -30.0, -39.0], (1, 0): [0.0, 1.5, -2.0, -8.0], (0, 1): [-9.0, -3.0, 1.0, 2.0], (2, 1): [10.0, -20.0, 30.0, 5.0], (4, 2): [3.0, 4.0, -5.0, 6.0]}
+    rng = np.random.default_rng(8)
+    rows = [(float(m), float(n), float(b), int(s), 1.0) for m, n, b, s in zip(rng.uniform(5, 22, 300), rng.uniform(1.0, 2.0, 300), rng.uniform(-90, 90, 300), rng.choice([31, 95, 3], 300))]
+    df = spark.createDataFrame([*rows, (None, 1.5, 0.0, 31, 1.0)], "g double, nu double, beta double, sol int, parallax double")
+    five = cr.zero_point_of(F.col("g"), F.col("nu"), F.col("beta"), edges, q)
+    six = cr.zero_point_of(F.col("g"), F.col("nu"), F.col("beta"), edges, {(0, 0): q[0, 0]})
+    got = cr.parallax_correction_of(df, five, six, solution="sol").collect()
+
+    def want(m, n, b, table):
+        colour = [1.0, np.clip(n - 1.48, -0.24, 0.24), np.clip(1.48 - n, 0, 0.24) ** 3, min(0.0, n - 1.24), max(0.0, n - 1.72)]
+        sine = np.sin(np.radians(b))
+        return sum(np.interp(m, edges, v) * colour[j] * [1.0, sine, sine**2 - 1 / 3][k] for (j, k), v in table.items())
+
+    for r in got:
+        if r.g is None or r.sol == 3:
+            assert r.parallax_zpt is None and r.parallax_corr == 1.0
+        else:
+            assert r.parallax_zpt == pytest.approx(want(r.g, r.nu, r.beta, q if r.sol == 31 else {(0, 0): q[0, 0]}), abs=1e-9)
+
+
+def test_published_constants_are_as_published():
+    """Pinned here, because the SQL of the queries reads the same tables."""
+    from skyledger.functions import coords as co
+
+    assert cr.G_BRIGHT == (1.00876, -0.02540, 0.01747, -0.00277) and cr.G_FAINT == (1.00525, -0.02323, 0.01740, -0.00253)
+    assert (cr.G_START, cr.G_SPLIT, cr.G_COLOUR_LIMITS) == (13.0, 16.0, (0.25, 3.0))
+    assert (cr.TREND_COLD, cr.TREND_HOT, cr.TREND_LOGG_MAX) == (3500.0, 6000.0, 3.8)
+    assert cr.ABUNDANCE_TRENDS["alpha_m_atm"] == (-2.2918e-5, 0.0861, -0.0514, 0.0059) and cr.ABUNDANCE_TRENDS["ce_h_atm"] == (1.3833e-4, -0.5431, 0.2869, -0.0589)
+    assert ex.BAND_RATIOS == {"j_mag": 0.276, "h_mag": 0.176, "k_mag": 0.112, "w1_mag": 0.063, "w2_mag": 0.050} and ex.R_V == 3.1 and ex.REDDENING_TO_AV == 2.742
+    assert co.KMS_PER_MASYR_KPC == 4.74047 and co.SOLAR_MOTION == (-11.1, 12.24, 7.25)
+    # a trend that switches at its limits
+    assert info.poisson_cuts(4) == pytest.approx([0.36787944, 0.73575888, 0.91969860, 0.98101184], abs=1e-8)
