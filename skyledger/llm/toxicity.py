@@ -27,6 +27,10 @@ DIMENSION, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 MIN_DOCUMENTS, SHARE_OF_DOCUMENTS = 3, 150
 EPOCHS, STEPS, BATCH = 12, 1500, 32
 DECAY = 0.1
+#: share of the words that a training step does not see
+DROP = 0.3
+#: toxic documents that the prior of a threshold counts as
+PRIOR = 20
 PAD = 3
 #: function words that tell the language of a text
 FUNCTION_WORDS = {
@@ -201,7 +205,7 @@ def train(texts: list[str], labels: list[int], weights: dict[int, float] | None
             if not len(part):
                 continue
             step += 1
-            grad = _batch(net, [slots[i] for i in part], y[part], net.responses())
+            grad = _batch(net, [np.where(rng.random((len(slots[i]), 1)) < DROP, 0, slots[i]) for i in part], y[part], net.responses())
             for k in names:
                 mean[k] += 0.1 * (grad[k] - mean[k])
                 # one scale for all words: a rare word must not move as far as one that always tells
@@ -230,6 +234,8 @@ def _calibrate(net: Network, texts: list[str], y: np.ndarray, weights: dict[int,
         k = int(f1.argmax())
         # halfway to the next score below, in the middle of the gap
         cut = (values[k] + values[k + 1]) / 2 if k + 1 < len(values) else values[k] - 0.5
+        # few documents say little: their cut is drawn towards even odds
+        cut *= good.sum() / (good.sum() + PRIOR)
         return float(np.clip(1 / (1 + np.exp(-cut)), 0.02, 0.98))
 
     every = best(np.ones(len(y), bool)) if len(y) else None
