@@ -154,7 +154,10 @@ def fit_kinematic(df: DataFrame, v_r: str, v_t: str, v_z: str, p_threshold: floa
 
 def mahalanobis_expression(env: Envelope) -> Column:
     """Distance as one arithmetic expression; NULL as soon as an input is NULL, NaN or infinite."""
-    d = [finite(F.col(c).cast("double")) - float(m) for c, m in zip(env.columns, env.mean)]
+    return _distance([finite(F.col(c).cast("double")) - float(m) for c, m in zip(env.columns, env.mean)], env)
+
+
+def _distance(d: Sequence[Column], env: Envelope) -> Column:
     k = len(d)
     total = None
     for i in range(k):
@@ -169,7 +172,9 @@ def score_mahalanobis(df: DataFrame, env: Envelope, out: str) -> DataFrame:
     if len(env.columns) > EXPRESSION_LIMIT:
         vector = df.withColumn("__x", F.array(*[F.col(c).cast("double") for c in env.columns]))
         return score_vector_envelope(vector, replace(env, columns=("__x",)), out).drop("__x")
-    return df.withColumn(out, mahalanobis_expression(env))
+    # each offset is computed once, not once for every pair
+    offsets = {f"__d{i}": finite(F.col(c).cast("double")) - float(m) for i, (c, m) in enumerate(zip(env.columns, env.mean))}
+    return df.withColumns(offsets).withColumn(out, _distance([F.col(n) for n in offsets], env)).drop(*offsets)
 
 
 def mahalanobis_flag(score: str, env: Envelope) -> Column:
