@@ -5,7 +5,9 @@ its ``nearest`` first pivots names an inverted list, so two vectors meet in a
 list if they share at least two of them; they are compared once, in the list of
 the two smallest pivots they share, and linked if the cosine of the given
 components is high enough in double precision. Equal vectors are made one class
-before. What leaves a list are counts by class and the edges of a spanning
+before. Pivots are spread out: a vector close to a chosen pivot is no pivot, so
+a large group of near copies owns about one and its members agree on the
+others. What leaves a list are counts by class and the edges of a spanning
 forest. Lists longer than a block are compared block by block in many tasks.
 """
 
@@ -24,6 +26,8 @@ from skyledger.session import cut_lineage
 COSINE = 0.95
 #: pivots are a bounded sample; every vector is indexed
 PIVOTS, NEAREST = 512, 6
+#: vectors that the pivots are chosen from, for each pivot wanted, and the highest cosine between two pivots
+WALK, APART = 16, 0.8
 #: members of a list that are compared in one piece
 BLOCK = 1024
 
@@ -58,6 +62,30 @@ def classes_of(vectors: DataFrame) -> DataFrame:
     return cut_lineage(vectors.groupBy("vector").agg(F.min("id").alias("low"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()))
 
 
+def spread(x: np.ndarray, most: int, apart: float = APART) -> np.ndarray:
+    """The first rows, ``most`` at most, that are not closer than ``apart`` to one taken before. ``x``: rows of length one."""
+    out, n = np.empty((min(most, len(x)), x.shape[1])), 0
+    for row in x:
+        if n == len(out):
+            break
+        if not n or (out[:n] @ row).max() <= apart:
+            out[n] = row
+            n += 1
+    return out[:n]
+
+
+def pivots_of(classes: DataFrame, count: int, width: int, most: int) -> np.ndarray:
+    """Spread-out pivots from about WALK * ``most`` vectors: those of a slice of the hash range, in its order."""
+    cells = 1 << 30
+    share = min(cells, -(-WALK * most * cells // max(1, count)))
+    at = F.xxhash64(F.lit("pivots"), "vector")
+    rows = classes.where(F.pmod(at, F.lit(cells)) < share).select(at.alias("at"), "vector").collect()
+    found = np.zeros((len(rows), width))
+    for k, r in enumerate(sorted(rows, key=lambda r: (r["at"], r["vector"]))):
+        found[k, : len(r["vector"])] = r["vector"]
+    return spread(unit(found), most)
+
+
 def postings(classes: DataFrame, pivots: np.ndarray, width: int, nearest: int) -> DataFrame:
     """(list, cid, copies, size, near, vector) for every pair of a class's nearest pivots."""
     nearest = min(nearest, len(pivots))
@@ -169,15 +197,12 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
     good = rows.where(usable(F.col("vector")))
     classes = classes_of(good)
-    width = classes.agg(F.max(F.size("vector"))).first()[0]
+    width, count = classes.agg(F.max(F.size("vector")), F.count("*")).first()
     lone = rows.where(~usable(F.col("vector"))).select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     if width is None:
         return lone
-    chosen = classes.orderBy(F.xxhash64("vector"), "vector").limit(pivots).collect()
-    found = np.zeros((len(chosen), width))
-    for k, r in enumerate(chosen):
-        found[k, : len(r["vector"])] = r["vector"]
-    met = cut_lineage(compared(postings(classes, unit(found), width, nearest), width, len(found), least, block))
+    found = pivots_of(classes, count, width, pivots)
+    met = cut_lineage(compared(postings(classes, found, width, nearest), width, len(found), least, block))
     links = met.where("other is null").groupBy("cid").agg(F.sum("links").alias("links"))
     member = components(met.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("cid"), F.col("component").alias("root"))
     rooted = classes.select("cid", "low", "copies").join(member, "cid", "left").withColumn("root", F.coalesce("root", "cid")).join(links, "cid", "left")

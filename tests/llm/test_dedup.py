@@ -114,6 +114,17 @@ def test_pivots_against_brute_force(spark, block):
     assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_pivots_find_a_group_of_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(3000, 64)), rng.normal(size=(1, 64)) + 0.18 * rng.normal(size=(1500, 64))])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    got = pivots.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")).collect()
+    have = np.array([r["n_links"] for r in sorted(got, key=lambda r: r["vec_id"])])
+    assert want.sum() > 1_000_000 and (have <= want).all() and have.sum() >= 0.98 * want.sum()
+    assert len({r["component_id"] for r in got if want[r["vec_id"]]}) == 1
+
+
 def Counter_by_id(rows):
     return {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in rows}
 
