@@ -1,9 +1,10 @@
 """Toxicity by a small convolutional network over hashed word embeddings.
 
 Words (runs of letters, ASCII folded to lower case) and their first four bytes
-are hashed to 24 bits; buckets met in several training documents own an
-embedding, all others share the zero vector, and a word is the sum of its two. Filters one, two and three words wide slide over the whole
-text, the maximum of each over the text is its feature, and a logistic layer
+are hashed to 24 bits; buckets met in MIN_DOCUMENTS training documents own an
+embedding, however large the sample, all others share the zero vector, and a
+word is the sum of its two. Filters one, two and three words wide slide over the
+whole text, the maximum of each over the text is its feature, and a logistic layer
 scores them. The network is trained in numpy on a bounded sample. A threshold
 for each language, told from the function words of the text itself, is set on
 documents kept aside from training and moved to 0.5.
@@ -24,7 +25,7 @@ SAMPLE = 2000
 PARTS, HELD_PART = 5, 0
 HASH_BITS, PREFIX = 24, 4
 DIMENSION, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
-MIN_DOCUMENTS, SHARE_OF_DOCUMENTS = 3, 150
+MIN_DOCUMENTS = 3
 EPOCHS, STEPS, BATCH = 12, 1500, 32
 DECAY = 0.1
 #: share of the words that a training step does not see
@@ -189,8 +190,8 @@ def train(texts: list[str], labels: list[int], weights: dict[int, float] | None
     aside = np.arange(len(docs)) % 4 == 3
     distinct = [np.unique(d[d >= 0]) for d, a in zip(docs, aside) if not a]
     ids, n = np.unique(np.concatenate([*distinct, np.empty(0, np.int64)]).astype(np.int64), return_counts=True)
-    # a word is learned where it is in several documents, more of them the larger the sample
-    net = Network(ids[n >= max(MIN_DOCUMENTS, len(distinct) // SHARE_OF_DOCUMENTS)], rng)
+    # the same few documents teach a word in every sample, so that words of smaller languages stay known as it grows
+    net = Network(ids[n >= MIN_DOCUMENTS], rng)
     slots = [net.slots(d) for d in docs]
     fit = np.flatnonzero(~aside)
     names = ("out", "shift", "bias", "taps", "table")

@@ -173,6 +173,17 @@ def test_toxicity_on_held_out_documents(spark):
     assert first == second
 
 
+def test_toxicity_learns_rare_words_of_large_samples(monkeypatch):
+    """A toxic word in three of 1200 fitted documents has an embedding."""
+    for name in ("EPOCHS", "STEPS"):
+        monkeypatch.setattr(toxicity, name, 1)
+    texts, labels = [f"plain words number{k % 7}" for k in range(1600)], [0] * 1600
+    for k in (100, 500, 900):
+        texts[k], labels[k] = f"{texts[k]} ekelwort", 1
+    net = toxicity.train(texts, labels)
+    assert net.slots(toxicity.ids_of(["ekelwort", "plain"])).all() and not net.slots(toxicity.ids_of(["unseen"])).any()
+
+
 def test_toxicity_gradient():
     """Backpropagation against finite differences."""
     rng = np.random.default_rng(0)
