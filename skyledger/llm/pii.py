@@ -1,7 +1,7 @@
 """Personal data replaced by surrogates that look like it.
 
 E-mail addresses, telephone numbers, card numbers, account numbers, network
-addresses, secrets and names after a title are found in the whole text. Each is
+addresses, secrets and names after a title or with a listed given name are found in the whole text. Each is
 read as a number in the mixed radix its own shape spans (digit by digit, vowel
 by vowel, consonant by consonant, hex by hex) and moved to its successor on a
 keyed cycle of that space: a Feistel permutation, one step, and back. So
@@ -55,9 +55,15 @@ ACCOUNT = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?
 CARD = re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d])")
 SOCIAL = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w])|(?<![\w.])\+\d{7,15}(?!\w)")
+#: + or trunk 0 and groups of any size, counted by ``is_dialled``; then national numbers without either
+DIALLED = re.compile(r"(?<![\w.+/,:=-])(?:\+ ?|(?=\(?00?[1-9]))\(?\d+\)?(?:(?: [/-] |[ ./-])?\(\d+\)\d*|(?: [/-] |[ ./-])\d+)*(?!\w|[.,:/-]\d)")
+NATIONAL = re.compile(r"(?<![\w.+/,:=-])(?:[6-9]\d\d(?:[ .-]\d\d){3}|[89]\d[ .-]\d{3}(?:[ .-]\d\d){2}|[2-9]\d{9}|[67]\d{8})(?!\w|[.,:/-]\d)")
+DATE = re.compile(r"\d\d?([./ -])\d\d?\1\d{4}")
 NAME = re.compile(r"\b(?:" + "|".join(TITLES) + r")\.? ([^\W\d_][^\W\d_'-]+(?: [^\W\d_a-zß-ÿ][^\W\d_'-]+)?)")
+#: a given name without a title; ``entities`` looks for the capital
+GIVEN = re.compile(r"\b((?:" + "|".join(WOMEN + MEN) + r") [^\W\d_]+(?:['’-][^\W\d_]+)*)")
 #: in this order an entity keeps the places it has taken
-PATTERNS = (("email", EMAIL), ("secret", SECRET), ("access", ACCESS_KEY), ("ip", ADDRESS), ("padded", PADDED), ("account", ACCOUNT), ("card", CARD), ("social", SOCIAL), ("phone", PHONE), ("name", NAME))
+PATTERNS = (("email", EMAIL), ("secret", SECRET), ("access", ACCESS_KEY), ("ip", ADDRESS), ("padded", PADDED), ("account", ACCOUNT), ("card", CARD), ("social", SOCIAL), ("phone", PHONE), ("phone", DIALLED), ("phone", NATIONAL), ("name", NAME), ("name", GIVEN))
 
 
 def _classes() -> dict[str, tuple[str, int]]:
@@ -192,7 +198,7 @@ class Surrogates:
 
     def _phone(self, value: str) -> str:
         """The country code stays."""
-        code = re.match(r"\+\d{1,3}(?=[ .(-])", value)
+        code = re.match(r"\+\d{1,3}(?=[ .(/-])", value)
         return self.shaped(value, "phone", fixed=frozenset(range(code.end() if code else 0)))
 
     def _name(self, value: str) -> str:
@@ -220,6 +226,11 @@ def check_digit(digits: str) -> int:
     return -total % 10
 
 
+def is_dialled(value: str) -> bool:
+    """7 to 15 digits that are neither a date nor a signed decimal."""
+    return 7 <= sum(c.isdigit() for c in value) <= 15 and not DATE.fullmatch(value) and not re.fullmatch(r"\+ ?\d+\.\d+", value)
+
+
 _DIGIT = re.compile(r"\d")
 
 
@@ -236,16 +247,19 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         absent.add("secret")
     if not any(p in text for p in PREFIXES):
         absent.add("access")
-    if not any(t in text for t in TITLES):
-        absent.add("name")
+    unnamed = {NAME} if not any(t in text for t in TITLES) else set()
+    if not any(t in text for t in WOMEN + MEN):
+        unnamed.add(GIVEN)
     for kind, pattern in PATTERNS:
-        if kind in absent:
+        if kind in absent or pattern in unnamed:
             continue
         group = pattern.groups
         for m in pattern.finditer(text):
             a, b = m.span(group)
             if kind == "card" and not 13 <= sum(c.isdigit() for c in m.group()) <= 19:
                 continue
+            if pattern is DIALLED and not is_dialled(m.group()) or pattern is GIVEN and not m.group(1).partition(" ")[2][0].isupper():
+                continue
             if all(b <= x or a >= y for x, y, _, _ in found):
                 found.append((a, b, kind, text[a:b]))
     return sorted(found)

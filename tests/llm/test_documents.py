@@ -356,6 +356,26 @@ def test_surrogates_keep_type_and_coreference(spark):
     assert pii.stage(spark, docs, "").columns == docs.columns
 
 
+@pytest.mark.parametrize("phone", ["+33 1 23 45 67 89", "01 23 45 67 89", "01.23.45.67.89", "+49 30 1234567", "030 1234567", "030/1234567", "(030) 1234567", "+49 (0)30 1234567", "0301234567", "+34 612 34 56 78", "612 34 56 78", "91 123 45 67", "612345678", "5551234567", "+1-555-123-4567", "555-123-4567"])
+def test_phone_formats(phone):
+    for text in (f"call {phone}.", f"Tel.: {phone}, or write"):
+        assert [(kind, value) for _, _, kind, value in pii.entities(text)] == [("phone", phone)]
+        out, n = pii.replace(text, pii.Surrogates())
+        assert n == 1 and phone not in out and re.sub(r"\d", "0", out) == re.sub(r"\d", "0", text)
+
+
+@pytest.mark.parametrize("name", ["Anna Keller", "Pierre Dupont-Durand", "Carlos Núñez", "Stefan Österle"])
+def test_given_names_without_a_title(name):
+    out, n = pii.replace(f"then {name} said", pii.Surrogates())
+    assert n == 1 and not any(part in out for part in name.split())
+    assert pii.Surrogates().of("name", name) in pii.replace(f"Dr. {name}", pii.Surrogates())[0] or "-" in name
+
+
+def test_numbers_that_are_no_phones():
+    for text in ("on 01.02.2021 or 01/02/2021", "0.1234567 and +1.2345678", "0 1 2 3 4 5 6 7", "at 08:15", "Anna was here", "2021-05-04", "1700000000 s", "https://example.org/0123456789/"):
+        assert pii.entities(text) == []
+
+
 def test_clean_texts_stay_as_they_are():
     made = pii.Surrogates()
     for text in ("Licensed under CC BY-NC 4.0.", "version 3 of 2021-05-04, see page 12", "ratio 3:4, 100 000 people", "the token of love: none"):
