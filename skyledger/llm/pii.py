@@ -20,12 +20,13 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger.llm.common import aside, table
+from skyledger.llm.common import aside, process_cache, table
 
 DEFAULT_KEY = "corpus-surrogates"
 ROUNDS = 8
@@ -35,7 +36,7 @@ WOMEN = "Anna Maria Sofia Laura Julia Emma Clara Elena Lucia Marta Sarah Linda S
 MEN = "John James Robert Michael David Thomas Peter Paul Martin Daniel Carlos Miguel Pedro Pierre Antoine Hans Klaus Stefan Jorge Louis".split()
 TITLES = "Mr Mrs Ms Miss Mister Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Sr Sra Don Doña".split()
 
-#: letters told apart so that a surrogate stays pronounceable; other letters of a script form one class
+#: letters told apart so that a surrogate stays pronounceable; ``wide_classes`` has all others
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 SCRIPTS = (
     "áéíóúàèìòùâêîôûäëïöü",
@@ -47,7 +48,7 @@ EMAIL = re.compile(r"(?<![\w.+-])[^\W_][\w.+-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^
 SECRET = re.compile(r"(?i)\b(?:api[_-]?key|secret(?:[_-]?key)?|token|password|passwd|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_-]{8,}={0,2})")
 PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "sk-", "xoxb-", "xoxp-")
 ACCESS_KEY = re.compile(r"\b(?:AKIA|ASIA|AIza|ghp_|gho_|sk-|xox[bp]-)[A-Za-z0-9_-]{16,}")
-_BYTE = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_BYTE = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 ADDRESS = re.compile(rf"(?<![\d.])(?:{_BYTE}\.){{3}}{_BYTE}(?!\d|\.\d)")
 _PADDED = r"(?:25[0-5]|2[0-4]\d|[01]?\d?\d)"
 PADDED = re.compile(rf"(?<![\d.])(?:{_PADDED}\.){{3}}{_PADDED}(?!\d|\.\d)")
@@ -75,6 +76,25 @@ def _classes() -> dict[str, tuple[str, int]]:
 
 
 CLASSES = _classes()
+
+
+def wide_classes() -> dict[str, tuple[str, int]]:
+    """Classes of all other letters and digits by script, category and neighbourhood, built once in each process that needs them."""
+    known = process_cache()
+    if "wide_classes" not in known:
+        groups: dict[tuple, list[str]] = {}
+        for code in range(128, 0x110000):
+            c = chr(code)
+            if c.isalnum() and c not in CLASSES:
+                script, category = unicodedata.name(c, "OTHER").split()[0], unicodedata.category(c)
+                near = unicodedata.name(c).rpartition(" ")[0] if category == "Nd" else code >> (7 if script in ("LATIN", "GREEK", "CYRILLIC") else 12)
+                groups.setdefault((script, category, near), []).append(c)
+        lone = [c for chars in groups.values() if len(chars) < 2 for c in chars]
+        whole = ["".join(chars) for chars in (*groups.values(), lone) if len(chars) > 1]
+        known["wide_classes"] = {c: (chars, k) for chars in whole for k, c in enumerate(chars)}
+    return known["wide_classes"]
+
+
 HEX = {c: ("0123456789abcdef", k) for k, c in enumerate("0123456789abcdef")}
 
 
@@ -115,11 +135,13 @@ class Surrogates:
     def step(self, x: int, n: int, tweak: str) -> int:
         """The next of x on a keyed cycle through all of 0..n-1: never x itself."""
         if n < 2:
-            return x
+            raise ValueError("a space of one member has no surrogate")
         return self._feistel((self._feistel(x, n, tweak, True) + 1) % n, n, tweak, False)
 
     def shaped(self, value: str, tweak: str, classes: dict[str, tuple[str, int]] = CLASSES, fixed: frozenset[int] = frozenset()) -> str:
         """Every character that has a class moves inside it; the rest is the shape."""
+        if any(c not in classes and c.isalnum() for c in value):
+            classes = classes | {c: wide_classes()[c] for c in value if c not in classes and c.isalnum()}
         at = [k for k, c in enumerate(value) if c in classes and k not in fixed]
         number, size = 0, 1
         for k in at:
@@ -191,7 +213,8 @@ class Surrogates:
         last = len(value) - 1
         out = self.shaped(value[:last], "card") + value[last]
         shift = int(value[last]) - check_digit(value[:last])
-        return out[:last] + str((check_digit(out[:last]) + shift) % 10)
+        # in the digits of its own script
+        return out[:last] + chr(ord(value[last]) - int(value[last]) + (check_digit(out[:last]) + shift) % 10)
 
     def _social(self, value: str) -> str:
         return self.shaped(value, "social")
@@ -256,6 +279,9 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         group = pattern.groups
         for m in pattern.finditer(text):
             a, b = m.span(group)
+            # rows of dashes hold nothing to replace
+            if not any(map(str.isalnum, text[a + (0 if kind != "access" else 3 if text[a + 2] == "-" else 4) : b])):
+                continue
             if kind == "card" and not 13 <= sum(c.isdigit() for c in m.group()) <= 19:
                 continue
             if pattern is DIALLED and not is_dialled(m.group()) or pattern is GIVEN and not m.group(1).partition(" ")[2][0].isupper():

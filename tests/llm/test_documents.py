@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -356,6 +357,25 @@ def test_surrogates_keep_type_and_coreference(spark):
     assert pii.stage(spark, docs, "").columns == docs.columns
 
 
+@pytest.mark.parametrize("name", ["李明", "محمد علي", "דוד כהן", "김철수", "さくら", "タナカ", "ñçßøł", "Νίκος Ωμέγας", "Գրիգոր", "สมชาย", "𠀀𠀁"])
+def test_every_script_has_surrogates(name):
+    out, n = pii.replace(f"Dr {name}", pii.Surrogates())
+    got = out[3:]
+    assert n == 1 and got != name and len(got) == len(name) and out[:3] == "Dr "
+    assert [unicodedata.name(c).split()[0] for c in got] == [unicodedata.name(c).split()[0] for c in name]
+    assert [c.isupper() for c in got] == [c.isupper() for c in name]
+
+
+def test_digits_and_letters_of_every_script_are_a_bijection():
+    made = pii.Surrogates()
+    for kind, values in {"name": [chr(c) for c in range(0x4E00, 0x4F00)] + list("ñçßøłªºµ²Ⅷ"), "card": [f"٤١١١١١١١١١١١١١{x}{y}" for x in "٠١٢" for y in "٠٣٩03"], "phone": [f"+٤٩ ٣٠ ١٢٣٤٥٦{x}" for x in "٠١٢"]}.items():
+        out = [made.of(kind, v) for v in values]
+        assert len(set(out)) == len(out) and not any(a == b for a, b in zip(out, values))
+    assert pii.entities("1٢.3.4.5")[0][2] == "padded" and pii.entities("password: ________ and sk-------------------- end") == []
+    with pytest.raises(ValueError):
+        made.step(0, 1, "t")
+
+
 @pytest.mark.parametrize("phone", ["+33 1 23 45 67 89", "01 23 45 67 89", "01.23.45.67.89", "+49 30 1234567", "030 1234567", "030/1234567", "(030) 1234567", "+49 (0)30 1234567", "0301234567", "+34 612 34 56 78", "612 34 56 78", "91 123 45 67", "612345678", "5551234567", "+1-555-123-4567", "555-123-4567"])
 def test_phone_formats(phone):
     for text in (f"call {phone}.", f"Tel.: {phone}, or write"):
