@@ -167,26 +167,33 @@ def relax(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int, ste
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
-    """Longest pieces first, each to the sequence with the least room that takes it."""
-    open_at: list[list[tuple[int, ...]]] = [[] for _ in range(capacity + 1)]
+    """Longest pieces first, each to the sequence with the least room that takes it; equal sequences are filled in one step."""
+    open_at: list[dict[tuple[int, ...], int]] = [{} for _ in range(capacity + 1)]
     mask, full = 0, {}
     for i in range(len(lengths) - 1, -1, -1):
-        size = int(lengths[i])
-        for _ in range(int(left[i])):
+        size, more = int(lengths[i]), int(left[i])
+        while more:
             rooms = mask >> size
             if rooms:
                 room = size + (rooms & -rooms).bit_length() - 1
-                config = open_at[room].pop()
-                if not open_at[room]:
-                    mask ^= 1 << room
+                config, have = open_at[room].popitem()
             else:
-                room, config = capacity, ()
-            open_at[room - size].append((*config, i))
-            mask |= 1 << (room - size)
+                room, config, have = capacity, (), more
+            # one sequence takes all it can hold before the next
+            each = min(room // size, more)
+            n = min(have, more // each)
+            if rooms and n < have:
+                open_at[room][config] = have - n
+            if not open_at[room]:
+                mask &= ~(1 << room)
+            room, config = room - each * size, config + (i,) * each
+            open_at[room][config] = open_at[room].get(config, 0) + n
+            mask |= 1 << room
+            more -= n * each
     for configs in open_at:
-        for config in configs:
+        for config, n in configs.items():
             config = tuple(sorted(config))
-            full[config] = full.get(config, 0) + 1
+            full[config] = full.get(config, 0) + n
     return full
 
 

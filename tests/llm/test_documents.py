@@ -65,6 +65,14 @@ def test_packing_is_near_the_bound():
     assert sum(n for _, n in plan) <= 1.01 * math.ceil(sum(k * n for k, n in histogram.items()) / 1024)
 
 
+def test_best_fit_does_not_walk_the_rows(monkeypatch):
+    """A thousand million long pieces in few steps: the driver takes configurations, not pieces."""
+    monkeypatch.setattr(packing, "range", lambda *a: range(*a) if max(a) < 10**6 else pytest.fail("one step for each piece"), raising=False)
+    got = packing.best_fit(np.array([300, 400, 700]), np.array([10**9 + 7, 5, 10**9]), 1024)
+    assert sum(n * c.count(2) for c, n in got.items()) == 10**9 and sum(n * c.count(0) for c, n in got.items()) == 10**9 + 7
+    assert sum(n * c.count(1) for c, n in got.items()) == 5 and len(got) < 10
+
+
 def test_knapsack_prices_against_enumeration():
     lengths, values = np.array([3, 5, 7]), np.array([2.0, 4.0, 6.5])
     best, _ = packing.price(values, lengths, 20)
