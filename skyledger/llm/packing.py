@@ -38,24 +38,26 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str) -> Callable[[str], list[int]]:
+def encoder(path: str, special: bool = True) -> Callable[[str], list[int]]:
     """The encoder of a file, built once in each Python worker."""
     known = process_cache().setdefault("encoders", {})
-    if path not in known:
-        known[path] = build_encoder(path)
-    return known[path]
+    if (path, special) not in known:
+        known[path, special] = build_encoder(path, special)
+    return known[path, special]
 
 
-def build_encoder(path: str) -> Callable[[str], list[int]]:
+def build_encoder(path: str, special: bool = True) -> Callable[[str], list[int]]:
     """Text to ids, as the ``tokenizers`` file at ``path`` gives them without added special tokens.
 
     A byte-level file whose merges are in order of their ids is run by tiktoken,
     which gives the same ids several times faster; other files, and texts that
-    contain a special token, are run by ``tokenizers``.
+    contain a special token, are run by ``tokenizers``. Without ``special`` the
+    strings of special tokens are plain text.
     """
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = not special
     slow = lambda text: plain.encode(text, add_special_tokens=False).ids
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -66,8 +68,8 @@ def build_encoder(path: str) -> Callable[[str], list[int]]:
 
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     to_byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
-    special = [x["content"] for x in spec.get("added_tokens", [])]
-    ranks = {bytes(to_byte[c] for c in token): k for token, k in model["vocab"].items() if token not in special}
+    names = [x["content"] for x in spec.get("added_tokens", [])]
+    ranks = {bytes(to_byte[c] for c in token): k for token, k in model["vocab"].items() if token not in names}
     merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
     order = [model["vocab"][m.replace(" ", "")] for m in merges]
     if order != sorted(order) or sorted(ranks.values()) != list(range(len(ranks))) or len(order) + 256 != len(ranks):
@@ -77,7 +79,7 @@ def build_encoder(path: str) -> Callable[[str], list[int]]:
     # where no two white spaces meet, both patterns cut alike, and this one needs no look-ahead
     single = tiktoken.Encoding("single", pat_str=words + r"|\s+", mergeable_ranks=ranks, special_tokens={})
     double = re.compile(r"\s\s").search
-    marked = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
+    marked = re.compile("|".join(map(re.escape, names))).search if special and names else lambda text: None
 
     def encode(text: str) -> list[int]:
         if marked(text):
