@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import alignment, langid, mixing, packing, pii, pivots, quality, rules, simhash, substrings, toxicity
+from skyledger.llm import alignment, langid, mixing, packing, pii, pivots, quality, rules, simhash, substrings, toxicity, whitening
 from skyledger.session import tune
 
 
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         simhash.op9_simhash,
         pii.op10_pii,
         alignment.op11_alignment,
+        whitening.op12_whitening,
     )
 }
 
