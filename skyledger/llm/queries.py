@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import alignment, langid, mixing, packing, pii, pivots, quality, rules, simhash, substrings, toxicity, whitening
+from skyledger.llm import alignment, langid, mixing, packing, pii, pivots, quality, rules, simhash, substrings, suffixes, toxicity, whitening
 from skyledger.session import tune
 
 
@@ -32,8 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pii.op10_pii,
         alignment.op11_alignment,
         whitening.op12_whitening,
+        suffixes.op13_suffixes,
     )
 }
 
 #: the others have no SQL; the tests hold them against brute force or held-out accuracy
-ORACLES: dict[str, str] = {"op4_mixing": mixing.OP4_SQL, "op6_substrings": substrings.OP6_SQL, "op7_rules": rules.OP7_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.OP4_SQL, "op6_substrings": substrings.OP6_SQL, "op7_rules": rules.OP7_SQL, "op13_suffixes": suffixes.OP13_SQL}
