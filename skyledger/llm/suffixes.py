@@ -418,10 +418,12 @@ def op13_suffixes(spark: SparkSession, folder: str) -> DataFrame:
 
 OP13_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(hex(text), '') AS h FROM documents),
-win AS (SELECT rid, doc_id, i, substr(h, 2 * i + 1, {2 * WIDTH}) AS g FROM d, unnest(range(0, len(h) // 2 - {WIDTH - 1})) u(i)),
+chunk AS (SELECT rid, doc_id, c, substr(h, 2 * c + 1, {2 * (WIDTH + 999)}) AS x FROM d, unnest(range(0, len(h) // 2 - {WIDTH - 1}, 1000)) u(c)),
+many AS (SELECT rid, doc_id, c, [substr(x, 2 * k + 1, {2 * WIDTH}) for k in range(0, len(x) // 2 - {WIDTH - 1})] AS gs FROM chunk),
+win AS (SELECT rid, doc_id, unnest(range(c, c + len(gs))) AS i, unnest(gs) AS g FROM many),
 low AS (SELECT g, min(doc_id) AS lo FROM win GROUP BY g),
-start AS (SELECT g, lo, min(i) AS at FROM win JOIN low USING (g) WHERE doc_id = lo GROUP BY g, lo),
-hit AS (SELECT DISTINCT rid, i FROM win JOIN start USING (g) WHERE doc_id > lo OR i > at),
+start AS (SELECT g, lo, min(i) AS fi FROM win JOIN low USING (g) WHERE doc_id = lo GROUP BY g, lo),
+hit AS (SELECT DISTINCT rid, i FROM win JOIN start USING (g) WHERE doc_id > lo OR i > fi),
 edge AS (SELECT rid, i, CASE WHEN i > lag(i) OVER (PARTITION BY rid ORDER BY i) + {WIDTH} THEN 1 ELSE 0 END AS new FROM hit),
 part AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS span FROM edge),
 gone AS (SELECT rid, min(i) AS s, max(i) + {WIDTH} AS e FROM part GROUP BY rid, span),
