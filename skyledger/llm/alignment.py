@@ -3,7 +3,7 @@
 Both tokenizations of a text spell the same bytes, so tokens are compared by
 their end offsets. While the two end arrays agree at one index shift, every
 token has exactly one partner; such a stretch is measured by exponential
-probing (slices of 1, 2, 4, ... ends compared at the current shift) and a
+probing (slices of 4, 8, 16, ... ends compared at the current shift) and a
 binary search in the last slice, and jumped over. Where the ends part, the
 group is closed by two pointers at the next common end, and the shift updated.
 
@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +60,7 @@ def piece_tokens(model) -> list[bytes]:
 
 
 class Pair:
-    """Both tokenizers with the bytes, byte lengths and decimal names of their ids."""
+    """Both tokenizers with the bytes and byte lengths of their ids, and what each id adds to a description, inside a group and at its end."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
         import sentencepiece
@@ -70,19 +69,27 @@ class Pair:
         self.encode_a = encoder(a_path, special=False)
         self.encode_b = lambda text: model.encode(text, num_threads=1)
         self.bytes_a, self.bytes_b = byte_level_tokens(a_path), piece_tokens(model)
-        self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
-        self.names = [str(k) for k in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.size_a, self.size_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
+        names = [f"{k}{end}" for size, last in ((len(self.bytes_a), "|"), (len(self.bytes_b), ";")) for k in range(size) for end in (",", last)]
+        self.names, self.start_b = np.array(names, dtype=np.bytes_), 2 * len(self.bytes_a)
 
-    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
+    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of A (of space and text) and of B; none if the text is null or empty, or the bytes of either differ from space and text."""
+        none = np.empty(0, np.int64)
         if not text:
-            return [], []
+            return none, none
         spelled = f" {text}"
-        a, b = self.encode_a(spelled), self.encode_b(text)
         want = spelled.encode()
-        if b"".join(map(self.bytes_a.__getitem__, a)) != want or b"".join(map(self.bytes_b.__getitem__, b)) != want:
-            return [], []
-        return a, b
+        b = self.encode_b(text)
+        if b"".join(map(self.bytes_b.__getitem__, b)) != want:
+            return none, none
+        if buffer := getattr(self.encode_a, "buffer", None):
+            a = np.frombuffer(buffer(spelled), np.uint32).astype(np.int64)
+            same = int(self.size_a[a].sum()) == len(want)
+        else:
+            a = np.array(self.encode_a(spelled), np.int64)
+            same = b"".join(map(self.bytes_a.__getitem__, a.tolist())) == want
+        return (a, np.array(b, np.int64)) if same else (none, none)
 
 
 def pair_of(a_path: str, b_path: str) -> Pair:
@@ -94,9 +101,9 @@ def pair_of(a_path: str, b_path: str) -> Pair:
 
 
 def run_length(x: list[int], y: list[int], i: int, j: int) -> int:
-    """How many ends agree from x[i] and y[j] on: slices that double, then a binary search in the last."""
+    """How many ends agree from x[i] and y[j] on: slices of 4, 8, ... ends, then a binary search in the last."""
     most = min(len(x) - i, len(y) - j)
-    done, probe = 0, 1
+    done, probe = 0, 4
     while done < most:
         step = min(probe, most - done)
         if x[i + done : i + done + step] != y[j + done : j + done + step]:
@@ -105,15 +112,18 @@ def run_length(x: list[int], y: list[int], i: int, j: int) -> int:
         probe *= 2
     else:
         return most
-    # ends differ somewhere in this slice: halve it
+    # ends differ somewhere in this slice: halve it, and walk through the last four
     low, high = 0, step - 1
-    while low < high:
+    while high - low > 3:
         mid = (low + high + 1) // 2
         if x[i + done : i + done + mid] == y[j + done : j + done + mid]:
             low = mid
         else:
             high = mid - 1
-    return done + low
+    done += low
+    while x[i + done] == y[j + done]:
+        done += 1
+    return done
 
 
 def align(x: list[int], y: list[int]) -> tuple[list[int], list[int], list[int]]:
@@ -198,19 +208,21 @@ def pair_counts(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray
     return pairs, n, int(n.sum())
 
 
-def described(a: list[int], b: list[int], at_a: list[int], at_b: list[int], runs: list[int], names: list[str]) -> tuple[int, str]:
+def described(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, runs: np.ndarray, names: np.ndarray, start_b: int) -> tuple[int, str]:
     """Number of groups, and SHA-256 of ``a1,a2|b1;a3|b2,b3``."""
-    out: list[str] = []
-    name_a, name_b = [names[k] for k in a], [names[k] for k in b]
-    ends_a, ends_b = [*at_a[1:], len(a)], [*at_b[1:], len(b)]
-    for i, j, k, i2, j2 in zip(at_a, at_b, runs, ends_a, ends_b):
-        if k == 1:
-            out.append(f"{name_a[i]}|{name_b[j]}")
-        elif k:
-            out.extend(map("|".join, zip(name_a[i : i + k], name_b[j : j + k])))
-        else:
-            out.append(f"{','.join(name_a[i:i2])}|{','.join(name_b[j:j2])}")
-    return len(out), hashlib.sha256(";".join(out).encode()).hexdigest()
+    each = np.maximum(runs, 1)
+    n = int(each.sum())
+    step = np.arange(n) - np.repeat(np.cumsum(each) - each, each)
+    first_a, first_b = np.repeat(at_a, each) + step, np.repeat(at_b, each) + step
+    n_a, n_b = np.diff(first_a, append=len(a)), np.diff(first_b, append=len(b))
+    last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    last_a[first_a + n_a - 1] = last_b[first_b + n_b - 1] = 1
+    # an A token follows the B tokens of the groups before its own, a B token also the A tokens of its own
+    code = np.empty(len(a) + len(b), np.int64)
+    code[np.arange(len(a)) + np.repeat(first_b, n_a)] = 2 * a + last_a
+    code[np.arange(len(b)) + np.repeat(first_a + n_a, n_b)] = 2 * b + last_b + start_b
+    spelled = names[code].view(np.uint8)
+    return n, hashlib.sha256(spelled[spelled != 0][:-1].tobytes()).hexdigest()
 
 
 def _aligned(a_path: str, b_path: str):
@@ -223,14 +235,13 @@ def _aligned(a_path: str, b_path: str):
             rows = []
             for text in batch.column(2):
                 a, b = both.tokens(text.as_py())
-                if not a:
+                if not len(a):
                     rows.append((0, 0, 0, 0, "", b""))
                     continue
-                ends_a = list(accumulate(map(both.size_a.__getitem__, a)))
-                ends_b = list(accumulate(map(both.size_b.__getitem__, b)))
-                at_a, at_b, runs = align(ends_a, ends_b)
-                n_groups, sha = described(a, b, at_a, at_b, runs, both.names)
-                keys, times, n_links = pair_counts(*(np.array(v, np.int64) for v in (a, b, at_a, at_b, runs)))
+                cut = align(both.size_a[a].cumsum().tolist(), both.size_b[b].cumsum().tolist())
+                cut = [np.array(v, np.int64) for v in cut]
+                n_groups, sha = described(a, b, *cut, both.names, both.start_b)
+                keys, times, n_links = pair_counts(a, b, *cut)
                 packed = np.concatenate([(keys >> 32).astype(np.int32).view(np.uint8), keys.astype(np.uint32).view(np.uint8), times.view(np.uint8)])
                 rows.append((len(a), len(b), n_groups, n_links, sha, squeeze(packed.tobytes())))
             cols = list(zip(*rows)) or [()] * 6

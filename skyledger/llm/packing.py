@@ -86,6 +86,9 @@ def build_encoder(path: str, special: bool = True) -> Callable[[str], list[int]]
             return slow(text)
         return (full if double(text) else single)._core_bpe.encode_ordinary(text)
 
+    if not special:
+        # the same ids as 32-bit numbers in a buffer; every byte of the text is in one of them
+        encode.buffer = lambda text: (full if double(text) else single)._core_bpe.encode_to_tiktoken_buffer(text, set())
     return encode
 
 
