@@ -5,8 +5,8 @@ program asks for the least number of configurations that cover the histogram
 of lengths, which has at most ``capacity`` entries whatever the corpus. It is
 solved on the driver by multiplicative weights: the weight of a length falls as
 it is covered, and a knapsack dynamic program finds the configurations of the
-highest price. The solution is rounded, and the rest goes to the sequence it
-fits best. Pieces then find their places by rank: the n-th piece of a length
+highest price. The solution is rounded to whole sequences and what is left solved again;
+the last tenth goes to the sequence it fits best. Pieces then find their places by rank: the n-th piece of a length
 takes the n-th slot of that length, so only counts ever leave the executors.
 """
 
@@ -28,6 +28,10 @@ from skyledger.session import cut_lineage
 
 CAPACITY = 1024
 END_ID = 2
+#: share of the pieces that configurations of the program are to hold
+HELD = 0.9
+#: share of the shortest pieces kept aside, so that the last long ones find partners; it falls to nothing for the longest
+RESERVE = 0.15
 #: rows ranked together; the number of such groups stays under a million
 GROUP_ROWS = 512
 
@@ -139,36 +143,70 @@ def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.nd
     return best, choice
 
 
-def relax(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int, step: float) -> dict[tuple[int, ...], float]:
-    """Fractional cover of ``need`` by configurations (index of each item, sorted) through multiplicative weights."""
-    done, use = np.zeros(len(lengths)), {}
-    for _ in range(rounds):
-        values = np.exp(-(done - done.min())) / need
-        best, choice = price(values, lengths, capacity)
-        through = values + best[capacity - lengths]
-        taken = np.zeros(len(lengths), bool)
-        for i in np.argsort(-through, kind="stable"):
-            if through[i] < (1 - step) * best[capacity]:
+def filled(i: int, choice: list[int], sizes: list[int], capacity: int) -> tuple[dict[int, int], int]:
+    """The configuration of the highest price that holds item i: ({item: copies}, room left)."""
+    config, room, left = {i: 1}, capacity - sizes[i], 0
+    while room > 0:
+        if (k := choice[room]) < 0:
+            room -= 1
+            left += 1
+        else:
+            config[k] = config.get(k, 0) + 1
+            room -= sizes[k]
+    return config, left
+
+
+def relax(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 24, prices: int = 3, pull: float = 0.05) -> dict[tuple[tuple[int, int], ...], float]:
+    """Fractional packing of the supply ``need`` by configurations ((item, copies), ...), by multiplicative weights.
+
+    The price of a length is its share of the capacity, which is dual feasible,
+    times a weight that rises while its supply is placed later than that of
+    others. A round moves every length on to the same share of its supply,
+    through the best configurations that hold it; a length that is ahead by a
+    round has no price, so none runs out before the others.
+    """
+    done, use, sizes = np.zeros(len(lengths)), {}, lengths.tolist()
+    total = need.tolist()
+    for r in range(1, rounds + 1):
+        share, most = r / rounds, min(1.0, (r + 1) / rounds)
+        for _ in range(prices):
+            values = lengths / capacity * np.exp(pull * (share - done / need))
+            values[done >= most * need - 1e-9] = 0.0
+            choice = price(values, lengths, capacity)[1].tolist()
+            placed, moved = done.tolist(), False
+            for i in range(len(sizes) - 1, -1, -1):
+                if placed[i] >= total[i] * share - 1e-9:
+                    continue
+                config, _ = filled(i, choice, sizes, capacity)
+                amount = min((total[k] * most - placed[k]) / c for k, c in config.items())
+                amount = min(amount, (total[i] * share - placed[i]) / config[i])
+                if amount > 1e-9:
+                    moved = True
+                    for k, c in config.items():
+                        placed[k] += amount * c
+                    key = tuple(sorted(config.items()))
+                    use[key] = use.get(key, 0.0) + amount
+            done = np.array(placed)
+            if not moved:
                 break
-            if taken[i]:
-                continue
-            items, room = [int(i)], capacity - lengths[i]
-            while room > 0:
-                if (k := choice[room]) < 0:
-                    room -= 1
-                else:
-                    items.append(int(k))
-                    room -= lengths[k]
-            kinds, counts = np.unique(items, return_counts=True)
-            if taken[kinds].any():
-                continue
-            taken[kinds] = True
-            amount = step * float((need[kinds] / counts).min())
-            done[kinds] += amount * counts / need[kinds]
-            use[config] = use.get(config := tuple(sorted(items)), 0.0) + amount
-    covered = done > 0
-    scale = done[covered].min() if covered.any() else 1.0
-    return {config: amount / scale for config, amount in use.items()}
+    return use
+
+
+def rounded(use: dict[tuple[tuple[int, int], ...], float], lengths: np.ndarray, left: np.ndarray, capacity: int, spare: int) -> dict[tuple[tuple[int, int], ...], int]:
+    """Whole numbers of the configurations that leave at most ``spare`` tokens, by cumulative sums and within the supply ``left``, which is reduced."""
+    sizes, out, total = lengths.tolist(), {}, 0.0
+    room = {config: capacity - sum(sizes[k] * c for k, c in config) for config in use}
+    for config in sorted(use, key=lambda x: (room[x], -use[x], x)):
+        if room[config] > spare:
+            break
+        before = math.floor(total)
+        total += use[config]
+        n = min(math.floor(total) - before, *(int(left[k]) // c for k, c in config))
+        if n > 0:
+            out[config] = n
+            for k, c in config:
+                left[k] -= n * c
+    return out
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
@@ -202,24 +240,52 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> dict[tuple
     return full
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 300, step: float = 0.25) -> list[tuple[dict[int, int], int]]:
-    """Whole configurations ({length: pieces}, how often) that hold exactly the pieces of the histogram."""
+def by_program(lengths: np.ndarray, need: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], int], int]:
+    """Whole configurations (items with repeats, ascending) of all pieces, and how many pieces the program's own configurations hold.
+
+    The relaxation of what is left is solved and rounded again until ``HELD`` of
+    the pieces have a place: first only configurations without waste are taken,
+    then such that leave 1, 2, 4, ... up to a 128th of the capacity. The best
+    fit completes the plan.
+    """
+    left, out, held = need.copy(), {}, 0
+    reach = np.cumsum(need * RESERVE * (1 - lengths / capacity) ** 2)
+    reserve = np.diff(np.floor(reach), prepend=0).astype(np.int64)
+    spare = 0
+    while held < HELD * need.sum() and spare <= capacity // 128:
+        left -= reserve
+        at = np.flatnonzero(left)
+        some = left[at]
+        got = rounded(relax(lengths[at], some, capacity), lengths[at], some, capacity, spare)
+        moved = 0
+        for config, n in got.items():
+            key = tuple(int(at[k]) for k, c in config for _ in range(c))
+            out[key] = out.get(key, 0) + n
+            moved += n * len(key)
+        held += moved
+        before, left[at] = int(left.sum()), some
+        left += reserve
+        if moved <= before // 10:
+            spare = max(1, 2 * spare)
+    for config, n in best_fit(lengths, left, capacity).items():
+        out[config] = out.get(config, 0) + n
+    return out, held
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """Whole configurations ({length: pieces}, how often) that hold exactly the pieces of the histogram.
+
+    They come from the program, or from best fit alone where that needs fewer sequences.
+    """
     out = [({capacity: 1}, histogram[capacity])] if histogram.get(capacity) else []
     lengths = np.array(sorted(n for n, c in histogram.items() if c and n < capacity), dtype=np.int64)
     if not len(lengths):
         return out
-    left = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
-    whole: dict[tuple[int, ...], int] = {}
-    use = relax(lengths, left.astype(float), capacity, rounds, step)
-    for config, amount in sorted(use.items(), key=lambda x: (-x[1], x[0])):
-        kinds, counts = np.unique(config, return_counts=True)
-        n = min(int(amount + 0.5), int((left[kinds] // counts).min()))
-        # a configuration that leaves much room is left to the best fit
-        if n > 0 and capacity - int(lengths[list(config)].sum()) <= capacity // 128:
-            whole[config] = n
-            left[kinds] -= n * counts
-    for config, n in best_fit(lengths, left, capacity).items():
-        whole[config] = whole.get(config, 0) + n
+    need = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
+    whole, _ = by_program(lengths, need, capacity)
+    plain = best_fit(lengths, need, capacity)
+    if sum(plain.values()) < sum(whole.values()):
+        whole = plain
     for config, n in sorted(whole.items()):
         kinds, counts = np.unique(config, return_counts=True)
         out.append(({int(lengths[k]): int(c) for k, c in zip(kinds, counts)}, n))

@@ -65,6 +65,54 @@ def test_packing_is_near_the_bound():
     assert sum(n for _, n in plan) <= 1.01 * math.ceil(sum(k * n for k, n in histogram.items()) / 1024)
 
 
+def test_program_places_the_pieces_and_beats_best_fit():
+    """Most pieces are held by configurations of the program, and they need no more sequences than best fit alone."""
+    rng = np.random.default_rng(7)
+    lengths = np.arange(1, 1024)
+    for times in (4, 40):
+        need = np.maximum(1, 10 * times * np.exp(-(((lengths - 350) / 300) ** 2))).astype(np.int64) + rng.integers(0, 4, 1023)
+        plan, held = packing.by_program(lengths, need, 1024)
+        took = np.zeros(1023, np.int64)
+        for config, n in plan.items():
+            assert lengths[list(config)].sum() <= 1024
+            np.add.at(took, list(config), n)
+        assert np.array_equal(took, need)
+        assert held >= 0.9 * need.sum()
+        bound = math.ceil((lengths * need).sum() / 1024)
+        assert bound <= sum(plan.values()) <= min(1.01 * bound, sum(packing.best_fit(lengths, need, 1024).values()) + 1)
+
+
+def test_relaxation_is_within_a_hundredth_of_the_bound():
+    rng = np.random.default_rng(9)
+    lengths = np.arange(1, 1024)
+    need = 5 + (40 * np.exp(-(((lengths - 350) / 300) ** 2))).astype(np.int64) + rng.integers(0, 5, 1023)
+    use = packing.relax(lengths, need, 1024)
+    placed = np.zeros(len(lengths))
+    for config, amount in use.items():
+        assert amount > 0 and sum(int(lengths[k]) * c for k, c in config) <= 1024
+        for k, c in config:
+            placed[k] += amount * c
+    assert (placed <= need + 1e-6).all()
+    # no packing of these amounts needs fewer sequences than their tokens fill
+    assert sum(use.values()) <= 1.01 * (lengths * placed).sum() / 1024
+    assert placed.sum() >= 0.95 * need.sum()
+
+
+def test_packing_is_never_worse_than_best_fit():
+    rng = np.random.default_rng(0)
+    for _ in range(12):
+        lengths = np.unique(rng.integers(1, 129, int(rng.integers(1, 40))))
+        histogram = {int(n): int(rng.integers(1, 10 ** int(rng.integers(1, 5)))) for n in lengths}
+        plan, held = packing.solve(histogram, 128), Counter()
+        for config, n in plan:
+            assert sum(k * c for k, c in config.items()) <= 128
+            for k, c in config.items():
+                held[k] += n * c
+        assert held == histogram
+        need = np.array([histogram[int(n)] for n in lengths])
+        assert sum(n for _, n in plan) <= sum(packing.best_fit(lengths, need, 128).values())
+
+
 def test_best_fit_does_not_walk_the_rows(monkeypatch):
     """A thousand million long pieces in few steps: the driver takes configurations, not pieces."""
     monkeypatch.setattr(packing, "range", lambda *a: range(*a) if max(a) < 10**6 else pytest.fail("one step for each piece"), raising=False)
