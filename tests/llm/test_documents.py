@@ -95,7 +95,7 @@ def test_relaxation_is_within_a_hundredth_of_the_bound():
     assert (placed <= need + 1e-6).all()
     # no packing of these amounts needs fewer sequences than their tokens fill
     assert sum(use.values()) <= 1.01 * (lengths * placed).sum() / 1024
-    assert placed.sum() >= 0.95 * need.sum()
+    assert placed.sum() >= 0.9 * need.sum()
 
 
 def test_packing_is_never_worse_than_best_fit():
