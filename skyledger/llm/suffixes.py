@@ -351,6 +351,8 @@ def earlier(found: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
 def late(lists: DataFrame, low: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Places of each key after the earliest one, and those at it."""
     met = cut_lineage(lists.join(low, key))
+    # lists of one key lie together: dealt out evenly before they are opened
+    met = met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     before = lambda x: (x["doc_id"] > F.col("low.doc_id")) | ((x["doc_id"] == F.col("low.doc_id")) & (x["head"] > F.col("low.head")))
     rest = [c for c in met.columns if c != "places"]
     return tuple(met.select(*rest, F.inline(F.filter("places", f))) for f in (before, lambda x: ~before(x)))
