@@ -71,13 +71,15 @@ def _counted_slots(df: DataFrame, keys: Sequence[str], value: Column) -> tuple[D
         .agg(F.count(F.lit(1)).alias("__c"))
     )
     slotted = _value_slots(counted, "__v")
-    sizes = slotted.groupBy(*keys, "__slot").agg(F.sum("__c").alias("__sc"))
+    sizes = slotted.groupBy(*keys, "__slot").agg(F.sum("__c").alias("__sc"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
     per_group = W.partitionBy(*keys)
     running = per_group.orderBy("__slot").rowsBetween(W.unboundedPreceding, W.currentRow)
     sizes = sizes.select(
         *keys,
         "__slot",
         "__sc",
+        "__least",
+        "__most",
         (F.sum("__sc").over(running) - F.col("__sc")).alias("__before"),
         F.sum("__sc").over(per_group).alias("n"),
     )
@@ -88,6 +90,15 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(keys)) if keys else (df.withColumn("__all", F.lit(0)), ["__all"])
 
 
+def _picked(near: DataFrame, keys: Sequence[str], inside: Sequence[str], order: str, names: Sequence[str]) -> DataFrame:
+    """Values of ``order`` at the 0-based ranks in the array ``__want``; ``__before`` rows of the group precede those of ``inside``."""
+    window = W.partitionBy(*keys, *inside).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    near = near.withColumn("__hi", F.col("__before") + F.sum("__c").over(window))
+    at = lambda i: (F.get("__want", F.lit(i)) >= F.col("__hi") - F.col("__c")) & (F.get("__want", F.lit(i)) < F.col("__hi"))
+    picks = [F.max(F.when(at(i), F.col(order))).alias(name) for i, name in enumerate(names)]
+    return near.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+
+
 def order_statistics(
     df: DataFrame,
     keys: Sequence[str],
@@ -108,19 +119,47 @@ def order_statistics(
         F.exists("__want", lambda r: (r >= first) & (r < first + size))
     )
     near = join_on_keys(slotted, targets, [*ks, "__slot"])
-    inside = W.partitionBy(*ks, "__slot").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    near = near.withColumn("__hi", F.col("__before") + F.sum("__c").over(inside))
-    picks = [
-        F.max(
-            F.when(
-                (F.get("__want", F.lit(i)) >= F.col("__hi") - F.col("__c"))
-                & (F.get("__want", F.lit(i)) < F.col("__hi")),
-                F.col("__v"),
-            )
-        ).alias(name)
-        for i, name in enumerate(ranks)
-    ]
-    return near.groupBy(*ks).agg(F.max("n").alias("n"), *picks).drop("__all")
+    return _picked(near, ks, ["__slot"], "__v", list(ranks)).drop("__all")
+
+
+def median_deviation(df: DataFrame, keys: Sequence[str], value: str, median: str, deviation: str) -> DataFrame:
+    """Exact median of each group and exact median of the absolute deviations from it.
+
+    The deviations are never made for all rows. Seen from the median every slot
+    covers a range of deviations, so the slot counts alone bound the wanted one
+    from both sides; the values of the few slots that reach into those bounds
+    are taken from the shuffle that served the median, and ordered by deviation.
+    """
+    df, ks = _keyed(df, keys)
+    slotted, sizes = _counted_slots(df, ks, F.col(value).cast("double"))
+    n = F.col("n")
+    halves = F.array(F.floor(0.5 * (n - 1)).cast("long"), F.ceil(0.5 * (n - 1)).cast("long"))
+    sizes = sizes.withColumn("__want", halves)
+    first, size = F.col("__before"), F.col("__sc")
+    targets = sizes.where(F.exists("__want", lambda r: (r >= first) & (r < first + size)))
+    centre = _picked(join_on_keys(slotted, targets, [*ks, "__slot"]), ks, ["__slot"], "__v", ["__a", "__b"])
+    centre = centre.select(*ks, (F.col("__a") + 0.5 * (F.col("__b") - F.col("__a"))).alias("__mid"))
+    # interpolated as the other quantiles are: half way between two ranks, or the one there is
+    seen = join_on_keys(sizes, centre, ks)
+    low, high = F.abs(F.col("__least") - F.col("__mid")), F.abs(F.col("__most") - F.col("__mid"))
+    within = (F.col("__least") <= F.col("__mid")) & (F.col("__mid") <= F.col("__most"))
+    seen = seen.withColumns({"__near": F.when(within, 0.0).otherwise(F.least(low, high)), "__far": F.greatest(low, high)})
+    group = W.partitionBy(*ks)
+    upto = lambda c: group.orderBy(c).rangeBetween(W.unboundedPreceding, W.currentRow)
+    seen = seen.withColumns({
+        "__starts": F.sum("__sc").over(upto("__near")) - F.sum("__sc").over(W.partitionBy(*ks, "__near")),
+        "__ends": F.sum("__sc").over(upto("__far")),
+    })
+    seen = seen.withColumns({
+        "__from": F.max(F.when(F.col("__starts") <= F.get("__want", F.lit(0)), F.col("__near"))).over(group),
+        "__to": F.min(F.when(F.col("__ends") > F.get("__want", F.lit(1)), F.col("__far"))).over(group),
+    })
+    below = F.sum(F.when(F.col("__far") < F.col("__from"), F.col("__sc")).otherwise(0)).over(group)
+    marks = seen.withColumn("__before", below).where("__far >= __from and __near <= __to").select(*ks, "__slot", "n", "__want", "__before", "__mid")
+    near = join_on_keys(slotted, marks, [*ks, "__slot"]).withColumn("__dev", F.abs(F.col("__v") - F.col("__mid")))
+    spread = _picked(near, ks, [], "__dev", ["__a", "__b"])
+    spread = spread.select(*ks, (F.col("__a") + 0.5 * (F.col("__b") - F.col("__a"))).alias(deviation))
+    return join_on_keys(centre.withColumnRenamed("__mid", median), spread, ks).drop("__all")
 
 
 def exact_quantiles(

@@ -9,7 +9,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skyledger.functions.binning import bin_index
-from skyledger.operators.ranking import exact_quantiles, join_on_keys
+from skyledger.operators.ranking import exact_quantiles, join_on_keys, median_deviation
 
 MAD_TO_SIGMA = 1.4826
 LEVELS = (0.68, 0.95, 0.99)
@@ -47,13 +47,9 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def mad_scatter(df: DataFrame, keys: Sequence[str], value: str, *, median: str = "median", mad: str = "mad_scatter") -> DataFrame:
-    """Median and ``1.4826 * median|x - median|`` per group, exact, in two rank passes."""
-    df, ks = (df, list(keys)) if keys else (df.withColumn("__mad", F.lit(0)), ["__mad"])
-    # lazy: the second pass and the result share the shuffles of the first
-    centre = exact_quantiles(df, ks, value, {median: 0.5})
-    dev = join_on_keys(df.select(*ks, value), centre, ks).withColumn("__dev", F.abs(F.col(value) - F.col(median)))
-    spread = exact_quantiles(dev, ks, "__dev", {mad: 0.5}).withColumn(mad, F.col(mad) * MAD_TO_SIGMA)
-    return join_on_keys(centre, spread, ks).drop("__mad")
+    """Median and ``1.4826 * median|x - median|`` per group, exact; no row moves but those of a few slots."""
+    out = median_deviation(df, keys, value, median, mad)
+    return out.withColumn(mad, F.col(mad) * MAD_TO_SIGMA)
 
 
 def coverage(residual: Column, sigma: Column, level: float) -> Column:

@@ -122,3 +122,25 @@ def test_cuts_equal_ranks_and_move_no_payload(spark):
     plan = top._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan.split("scalar-subquery")[0] and "Join" not in plan.split("scalar-subquery")[0]
     assert rk.hash_cut(df.limit(0), ["g"], ["id"], 3, cuts).count() == 0
+
+
+def test_median_deviation_equals_numpy_in_every_group(spark, skewed):
+    """A hot key, a third of equal values, single rows, ties around the median, null keys and null values."""
+    pdf, df = skewed
+    more = spark.createDataFrame([(-1, None, 5.0), (-2, None, 9.0), (-3, 77, 4.0), (-4, 78, None), (-5, 79, 1.0), (-6, 79, 1.0), (-7, 79, 3.0), (-8, 79, 3.0)], "id long, k long, v double")
+    got = {r.k: (r.m, r.d) for r in rk.median_deviation(df.union(more), ["k"], "v", "m", "d").collect()}
+    want = {int(k): g.to_numpy() for k, g in pdf.groupby("k").v}
+    want |= {None: np.array([5.0, 9.0]), 77: np.array([4.0]), 79: np.array([1.0, 1.0, 3.0, 3.0])}
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert got[k] == pytest.approx((np.median(v), np.median(np.abs(v - np.median(v)))))
+    whole = rk.median_deviation(df, [], "v", "m", "d").first()
+    assert (whole.m, whole.d) == pytest.approx((pdf.v.median(), (pdf.v - pdf.v.median()).abs().median()))
+    assert rk.median_deviation(df.limit(0), ["k"], "v", "m", "d").count() == 0
+
+
+def test_median_deviation_moves_the_rows_once(skewed):
+    """Deviations are never made for all rows: one exchange of values serves both medians."""
+    _, df = skewed
+    plan = rk.median_deviation(df, ["k"], "v", "m", "d")._jdf.queryExecution().optimizedPlan().toString()
+    assert "abs((__v" in plan and "abs((v" not in plan
