@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from skyledger.sources.publish import ChunkedRun
 from skyledger.functions.nulls import nan_to_null
 
 
@@ -168,11 +169,15 @@ def write_atomic(df: DataFrame, path: str, compression: str = "snappy") -> DataF
     return df.sparkSession.read.parquet(path)
 
 
-def write_incremental(parts: Sequence[DataFrame], path: str) -> DataFrame:
-    """Chunk outputs appended one after the other: each owns a folder that it overwrites, so repeating a chunk adds nothing."""
+def write_incremental(parts: Sequence[DataFrame], path: str, run: str | None = None) -> DataFrame:
+    """Chunk outputs one after the other, published together at the end; see ``publish.ChunkedRun``.
+
+    With the name of a ``run`` that was stopped, chunks it finished are not computed again.
+    """
+    out = ChunkedRun(parts[0].sparkSession, path, run)
     for number, part in enumerate(parts):
-        part.write.mode("overwrite").parquet(f"{path.rstrip('/')}/chunk={number}")
-    return parts[0].sparkSession.read.option("mergeSchema", "true").parquet(path).drop("chunk")
+        out.write(f"{number:06d}", part)
+    return out.close()
 
 
 def write_partitioned(df: DataFrame, path: str, by: str, *, rows_per_group: int = 25_000, level: int = 10) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skyledger.operators.ranking import first_per_key, join_on_keys
 from skyledger.session import work_folder
+from skyledger.sources.publish import read_published, write_version
 
 
 def stream_table(spark: SparkSession, folder: str, name: str = "*.parquet", max_files: int = 100) -> DataFrame:
@@ -35,14 +36,14 @@ def score_incremental(stream: DataFrame, score: Callable[[DataFrame], DataFrame]
 
 
 def running_counters(stream: DataFrame, keys: Sequence[str], counters: dict[str, Column], out: str, checkpoint: str) -> DataFrame:
-    """Flag counters accumulated over batches; the sink holds the latest totals."""
-    totals = stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(c).alias(n) for n, c in counters.items()])
-
-    def publish(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    """Flag counters accumulated over batches; the sink holds the latest totals.
 
-    _finish(totals.writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", checkpoint))
-    return stream.sparkSession.read.parquet(out)
+    Each batch writes a version of its own and then publishes it, so a batch
+    that fails leaves the totals before it to be read.
+    """
+    totals = stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(c).alias(n) for n, c in counters.items()])
+    _finish(totals.writeStream.outputMode("complete").foreachBatch(lambda batch, number: write_version(batch, out, number)).option("checkpointLocation", checkpoint))
+    return read_published(stream.sparkSession, out, totals.schema)
 
 
 def dedup_incremental(stream: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, checkpoint: str, *, time: str | None = None, delay: str | None = None) -> DataFrame:

@@ -67,3 +67,59 @@ def test_chunks_append_once_and_releases_have_row_groups(spark, tmp_path):
     assert {r.b: r.n_rows for r in cat.write_partitioned(rows, str(tmp_path / "rel"), "b", rows_per_group=1000).collect()} == {0: 3500, 1: 3500}
     sizes = [m.row_group(k).num_rows for f in glob.glob(f"{tmp_path}/rel/*/*.parquet") for m in [pq.ParquetFile(f).metadata] for k in range(m.num_row_groups)]
     assert max(sizes) <= 1000 and sum(sizes) == 7000
+
+
+def test_failed_batch_leaves_the_totals_before_it(spark):
+    import pytest
+
+    from skyledger.sources.publish import names_in, read_published
+
+    src = work_folder(spark, "src")
+    out, check = inc.folders(spark, "t")
+    spark.range(1, 5).write.parquet(src)
+    count = lambda: inc.running_counters(inc.stream_table(spark, src), [], {"n_odd": (F.when(F.col("id") > 90, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).cast("long") % 2) == 1}, out, check)
+    assert [tuple(r) for r in count().collect()] == [(4, 2)]
+    spark.range(100, 101).write.mode("append").parquet(src)
+    with pytest.raises(Exception):
+        count()
+    assert [tuple(r) for r in read_published(spark, out).collect()] == [(4, 2)]
+    assert len(names_in(spark, f"{out}/_published")) == 1
+
+
+def test_totals_keep_few_versions(spark):
+    from skyledger.sources.publish import names_in
+
+    src = work_folder(spark, "src")
+    out, check = inc.folders(spark, "t")
+    for k in range(4):
+        spark.range(k, k + 1).write.mode("append").parquet(src)
+        got = inc.running_counters(inc.stream_table(spark, src), [], {"n_odd": F.col("id") % 2 == 1}, out, check)
+        assert got.first().n_rows == k + 1
+    assert len(names_in(spark, f"{out}/_published")) == 2 and len([n for n in names_in(spark, out) if n.startswith("v")]) == 2
+
+
+def test_chunks_appear_together_and_a_stopped_run_goes_on(spark):
+    import pytest
+
+    from skyledger.sources import catalogue as cat
+    from skyledger.sources.publish import ChunkedRun, read_published
+
+    root = work_folder(spark, "chunks")
+    first = ChunkedRun(spark, root, "a")
+    assert first.write("0", spark.range(3))
+    with pytest.raises(FileNotFoundError):
+        read_published(spark, root)
+    # stopped here: the run is opened again, and only what is missing is computed
+    again = ChunkedRun(spark, root, "a")
+    assert not again.write("0", spark.range(99)) and again.write("1", spark.range(3, 8))
+    assert sorted(r.id for r in again.close().collect()) == list(range(8))
+    assert [(c["chunk"], c["rows"]) for c in ChunkedRun.manifest(spark, root)["chunks"]] == [("0", 3), ("1", 5)]
+    # a run that is killed in a chunk leaves the result before it, and a shorter one replaces all of it
+    killed = ChunkedRun(spark, root, "b")
+    killed.write("0", spark.range(50))
+    spark.range(7).write.parquet(f"{killed.staging}/chunk=1")
+    assert read_published(spark, root).count() == 8
+    assert ChunkedRun(spark, root, "b").close().count() == 50
+    assert sorted(r.id for r in cat.write_incremental([spark.range(2)], root).collect()) == [0, 1]
+    with pytest.raises(ValueError):
+        ChunkedRun(spark, root, "c").close()
