@@ -10,10 +10,11 @@ from skyledger.bindings.b02_filters import FIVE, TIERED, released
 from skyledger.bindings.b03_joins import COARSE, RETENTION, TEFF_EDGES, TEFF_LABELS, TEFF_LABEL_SQL, axes, completeness, extra_axes, retention
 from skyledger.bindings.b04_sampling import SPLIT
 from skyledger.bindings.registry import query
-from skyledger.bindings.views import IDS, PREDS, RESID, STARS, preds, resid, stars
+from skyledger.bindings.views import IDS, PREDS, RESID, STARS, preds, replica_uniform_sql, resid, stars
 from skyledger.functions.binning import clamped_index, digitize, linspace
 from skyledger.functions.coords import LOGG_SUN, NUMAX_SUN, TEFF_SUN
 from skyledger.operators import grids, neighbours, residuals as rs, sampling as sm
+from skyledger.operators.information import poisson_cuts
 from skyledger.plans import release as rel
 
 Z = {lv: rs.two_sided_z(lv) for lv in rs.LEVELS}
@@ -287,19 +288,21 @@ def _(t):
 
 
 SIGMA_BINS = 5
+REPLICAS = 200
 
 
 @query(
     "reliability_curve",
-    f"""WITH {PREDS}, e AS (SELECT quantile_cont(teff_sigma, [0.2, 0.4, 0.6, 0.8]) AS q FROM preds WHERE teff_pred IS NOT NULL), b AS (SELECT CAST(len(list_filter(q, lambda v: v <= teff_sigma)) AS INTEGER) AS bin, teff_sigma AS s, teff_pred - teff_truth AS d FROM preds, e WHERE teff_pred IS NOT NULL)
-SELECT bin, count(*) AS n, avg(s) AS mean_sigma, sqrt(avg(d*d)) AS rmse FROM b GROUP BY 1""",
-    r="mean_sigma rmse", i="bin",
+    f"""WITH {PREDS}, e AS (SELECT quantile_cont(teff_sigma, [0.2, 0.4, 0.6, 0.8]) AS q FROM preds WHERE teff_pred IS NOT NULL), b AS (SELECT CAST(len(list_filter(q, lambda v: v <= teff_sigma)) AS INTEGER) AS bin, teff_sigma AS s, teff_pred - teff_truth AS d, source_id FROM preds, e WHERE teff_pred IS NOT NULL),
+cuts AS (SELECT {poisson_cuts()}::DOUBLE[] AS c), rep AS (SELECT bin, r, d*d AS d2, len(list_filter(c, lambda q: q <= {replica_uniform_sql(0, 'r', 'source_id')})) AS w FROM b, cuts, range({REPLICAS}) x(r)), boot AS (SELECT bin, r, sqrt(sum(w*d2)/sum(w)) AS e FROM rep GROUP BY 1, 2), band AS (SELECT bin, quantile_cont(e, 0.16) AS rmse_lo, quantile_cont(e, 0.84) AS rmse_hi FROM boot GROUP BY 1)
+SELECT bin, count(*) AS n, avg(s) AS mean_sigma, sqrt(avg(d*d)) AS rmse, any_value(rmse_lo) AS rmse_lo, any_value(rmse_hi) AS rmse_hi FROM b JOIN band USING (bin) GROUP BY 1""",
+    r="mean_sigma rmse rmse_lo rmse_hi", i="bin",
 )
 def _(t):
     from skyledger.operators.calibration import reliability_curve
 
     df = preds(t).withColumn("d", F.col("teff_pred") - F.col("teff_truth"))
-    return reliability_curve(df, "teff_sigma", "d", SIGMA_BINS, ["source_id"])
+    return reliability_curve(df, "teff_sigma", "d", SIGMA_BINS, ["source_id"], REPLICAS)
 
 
 @query(

@@ -8,7 +8,7 @@ from skyledger.bindings.b02_filters import FIVE
 from skyledger.bindings.b04_sampling import edges_sql, qbin_sql
 from skyledger.bindings.b05_stats import bin_sql
 from skyledger.bindings.registry import query
-from skyledger.bindings.views import PREDS, STARS, preds, stars, uniform_sql
+from skyledger.bindings.views import PREDS, STARS, preds, replica_uniform_sql, stars
 from skyledger.functions.binning import bin_index
 from skyledger.operators import calibration as cal, ensembles as en, information as info, outliers as od, residuals as rs, sampling as sm, validation as va
 from skyledger.operators.ranking import exact_quantiles, one_row
@@ -450,7 +450,7 @@ def _(t):
 
 @query(
     "bootstrap_ci",
-    f"""WITH {PREDS}, cuts AS (SELECT {info.poisson_cuts()}::DOUBLE[] AS c), rep AS (SELECT r, mh_pred - mh_truth AS d, len(list_filter(c, lambda q: q <= {uniform_sql(4, 'r', 'source_id')})) AS w FROM preds, cuts, range(20) x(r)), s AS (SELECT r, sum(w*d)/sum(w) AS s FROM rep WHERE w > 0 GROUP BY 1)
+    f"""WITH {PREDS}, cuts AS (SELECT {info.poisson_cuts()}::DOUBLE[] AS c), rep AS (SELECT r, mh_pred - mh_truth AS d, len(list_filter(c, lambda q: q <= {replica_uniform_sql(4, 'r', 'source_id')})) AS w FROM preds, cuts, range(20) x(r)), s AS (SELECT r, sum(w*d)/sum(w) AS s FROM rep WHERE w > 0 GROUP BY 1)
 SELECT avg(s) AS bootstrap_mean, quantile_cont(s, 0.025) AS ci_lower, quantile_cont(s, 0.975) AS ci_upper, quantile_cont(s, 0.025) > 0 AS passed FROM s""",
     r="bootstrap_mean ci_lower ci_upper", digits=8,
 )

@@ -23,6 +23,12 @@ def uniform_sql(seed, *cols: str) -> str:
     return f"((CAST(concat('0x', substr({md5_sql(seed, *cols)}, 1, 8)) AS BIGINT) + 0.5e0) / 4294967296e0)"
 
 
+def replica_uniform_sql(seed, replica: str, *cols: str) -> str:
+    """(a + r b) mod 2**32 as a number in (0, 1); a and b are 32 bits each of one hash, b odd."""
+    half = lambda first: f"CAST(concat('0x', substr({md5_sql(seed, *cols)}, {first}, 8)) AS BIGINT)"
+    return f"((({half(1)} + {replica} * ({half(9)} | 1)) % 4294967296 + 0.5e0) / 4294967296e0)"
+
+
 STARS = """stars AS (
 SELECT *, 360e0*u1 AS ra, 180e0*u2 - 90e0 AS "dec", o_totalprice/100e0 AS dist_pc, 9e0 + 9e0*u3 AS g_mag,
   CASE WHEN source_id % 13 <> 0 THEN 0.1e0 + 3.4e0*u1 END AS bp_rp,

@@ -203,10 +203,10 @@ def reliability_curve(df: DataFrame, sigma: str, residual: str, n_bins: int, ids
     """Sigma-quantile bins: mean sigma, rms error and a 16-84 % Poisson bootstrap band.
 
     Each row enters every replica with a hashed Poisson weight and the replicas are
-    combinable sums, so no bin is gathered.
+    combinable arrays of sums, so no bin is gathered and no row repeated.
     """
     from skyledger.functions.binning import digitize
-    from skyledger.operators.information import replicate
+    from skyledger.operators.information import replica_sums
 
     d = df.where((F.col(sigma) > 0) & F.col(residual).isNotNull())
     probs = {f"q{i}": i / n_bins for i in range(1, n_bins)}
@@ -219,9 +219,7 @@ def reliability_curve(df: DataFrame, sigma: str, residual: str, n_bins: int, ids
     )
     if not n_boot:
         return out
-    boot = replicate(binned, ids, n_boot, seed).groupBy("bin", "replica").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("d2")) / F.sum("w")).alias("r")
-    )
+    boot = replica_sums(binned, ["bin"], ids, ["d2"], n_boot, seed).select("bin", F.sqrt(F.try_divide(F.col("d2"), F.col("w"))).alias("r"))
     band = boot.groupBy("bin").agg(
         F.percentile("r", F.lit(0.16)).alias("rmse_lo"), F.percentile("r", F.lit(0.84)).alias("rmse_hi")
     )

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skyledger.functions.binning import digitize
-from skyledger.functions.hashing import hash_uniform
+from skyledger.functions.hashing import seeded_hash
 from skyledger.operators.ranking import join_on_keys, one_row
 
 POISSON_TERMS = 12
@@ -23,17 +24,51 @@ def poisson_cuts(terms: int = POISSON_TERMS) -> list[float]:
     return cuts
 
 
-def replicate(df: DataFrame, ids: Sequence[str], n: int, seed: int) -> DataFrame:
-    """Each row in every bootstrap replica with its hashed Poisson(1) weight ``w``, zeros left out."""
-    out = df.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    u = hash_uniform(seed, "replica", *ids)
-    return out.withColumn("__u", u).withColumn("w", digitize("__u", poisson_cuts())).where(F.col("w") > 0).drop("__u")
+def replica_sums(df: DataFrame, keys: Sequence[str], ids: Sequence[str], values: Sequence[str], n: int, seed: int) -> DataFrame:
+    """Poisson bootstrap: for each key and replica the sum of the weights ``w`` and of each weighted value.
+
+    A row is hashed once; replica r reads its Poisson(1) weight from the number
+    (a + r b) mod 2**32, where a and b are the first and the next 32 bits of the
+    hash, b made odd. Tasks keep the sums of all replicas as arrays for each
+    key, so what is shuffled is keys times replicas, however many rows there
+    are. Values must not be NULL; NULL keys are a group.
+    """
+    part = lambda first: F.conv(F.substring(F.col("__h"), first, 8), 16, 10).cast("long")
+    coded = df.select(*keys, *[F.col(v).cast("double").alias(v) for v in values], seeded_hash(seed, *ids).alias("__h"))
+    coded = coded.select(*keys, *values, part(1).alias("__a"), part(9).bitwiseOR(F.lit(1).cast("long")).alias("__b")).withColumn("__key", F.to_json(F.struct(*keys)) if keys else F.lit(""))
+    cuts, at = np.array(poisson_cuts()), list(values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            names = column("__key").dictionary_encode()
+            code = names.indices.to_numpy()
+            weighed = np.stack([np.ones(batch.num_rows), *(column(v).to_numpy(zero_copy_only=False) for v in at)], 1)
+            a, b = column("__a").to_numpy(), column("__b").to_numpy()
+            for lo in range(0, batch.num_rows, 4096):
+                cut = slice(lo, lo + 4096)
+                u = ((a[cut, None] + b[cut, None] * np.arange(n)) % 2**32 + 0.5) / 2**32
+                w = np.searchsorted(cuts, u, side="right").astype(float)
+                for k in np.unique(code[cut]):
+                    rows = code[cut] == k
+                    name = names.dictionary[int(k)].as_py()
+                    sums[name] = sums.get(name, 0.0) + w[rows].T @ weighed[cut][rows]
+        for name, total in sums.items():
+            cols = [pa.array([name] * n), pa.array(range(n), pa.int32()), *(pa.array(total[:, k]) for k in range(total.shape[1]))]
+            yield pa.RecordBatch.from_arrays(cols, ["__key", "replica", "w", *at])
+
+    schema = ", ".join(["__key string", "replica int", "w double", *(f"`{v}` double" for v in at)])
+    out = coded.select("__key", "__a", "__b", *at).mapInArrow(run, schema).groupBy("__key", "replica").agg(*[F.sum(c).alias(c) for c in ("w", *at)])
+    if not keys:
+        return out.drop("__key")
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return out.select(F.from_json("__key", kinds).alias("__k"), "replica", "w", *at).select("__k.*", "replica", "w", *at)
 
 
 def bootstrap_ci(df: DataFrame, ids: Sequence[str], value: str, n: int, seed: int, levels: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
     """Mean of a value over replicas: average, interval, and whether the lower end is above 0."""
-    reps = replicate(df.where(F.col(value).isNotNull()), ids, n, seed)
-    stats = reps.groupBy("replica").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("s"))
+    stats = replica_sums(df.where(F.col(value).isNotNull()), [], ids, [value], n, seed).select(F.try_divide(F.col(value), F.col("w")).alias("s"))
     return stats.agg(
         F.avg("s").alias("bootstrap_mean"),
         F.percentile("s", F.lit(levels[0])).alias("ci_lower"),
@@ -41,7 +76,6 @@ def bootstrap_ci(df: DataFrame, ids: Sequence[str], value: str, n: int, seed: in
     ).withColumn("passed", F.col("ci_lower") > 0)
 
 
-
 def mutual_information(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """I(X;Y) in nats of two binned columns, per key; three small grouped counts."""
     ks = list(keys)

@@ -209,6 +209,29 @@ def test_bootstrap_interval_holds_the_mean(spark):
     assert r.ci_lower < 1.3 < r.ci_upper and r.passed and r.ci_upper - r.ci_lower < 0.1
 
 
+def test_replica_sums_equal_weights_taken_one_by_one(spark):
+    import hashlib
+
+    rows = [(i, None if i % 5 == 0 else i % 3, float(i % 11)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, k int, v double").repartition(3)
+    cuts, want = info.poisson_cuts(), {}
+    for i, k, v in rows:
+        h = hashlib.md5(f"9:{i}".encode()).hexdigest()
+        a, b = int(h[:8], 16), int(h[8:16], 16) | 1
+        for r in range(50):
+            u = ((a + r * b) % 2**32 + 0.5) / 2**32
+            w = sum(c <= u for c in cuts)
+            s = want.setdefault((k, r), [0, 0.0])
+            s[0] += w
+            s[1] += w * v
+    got = {(r.k, r.replica): (r.w, r.v) for r in info.replica_sums(df, ["k"], ["id"], ["v"], 50, 9).collect()}
+    assert got == {k: pytest.approx(tuple(v)) for k, v in want.items()}
+    assert sum(w for w, _ in got.values()) / 50 == pytest.approx(200, rel=0.1)
+    plan = info.replica_sums(df, ["k"], ["id"], ["v"], 50, 9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    assert info.replica_sums(df.limit(0), [], ["id"], ["v"], 5, 9).count() == 0
+
+
 def test_envelope_ignores_rows_that_are_not_finite(spark):
     from skyledger.operators import outliers as od
 
