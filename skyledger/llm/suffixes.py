@@ -335,39 +335,39 @@ def _single_windows(width: int):
     return run
 
 
-def earlier(found: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """For rows (key, row, doc_id, head): the places of each key, in lists, with its earliest one as ``low``; and a row for each key.
+def earlier(found: DataFrame, key: list[str], places: str) -> tuple[DataFrame, DataFrame]:
+    """For rows (key, row, doc_id, head): the ``places`` of each key, in lists; and a row for each key with its earliest place ``low``.
 
     Places are gathered for one partition of the stored documents at a time
     (the upper bits of ``row``), so a list is as long as one partition allows
     and the many places of one key travel as few rows.
     """
     place = F.struct("doc_id", "head", "row")
-    lists = cut_lineage(found.groupBy(*key, F.shiftright("row", 33).alias("part")).agg(F.collect_list(place).alias("places")))
-    low = cut_lineage(lists.groupBy(*key).agg(F.min(F.array_min("places")).alias("low"), F.sum(F.size("places")).alias("n")))
+    lists = cut_lineage(found.groupBy(*key, F.shiftright("row", 33).alias("part")).agg(F.collect_list(place).alias(places)))
+    low = cut_lineage(lists.groupBy(*key).agg(F.min(F.array_min(places)).alias("low"), F.sum(F.size(places)).alias("n")))
     return lists, low
 
 
-def late(lists: DataFrame, low: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+def late(lists: DataFrame, low: DataFrame, key: list[str], places: str) -> tuple[DataFrame, DataFrame]:
     """Places of each key after the earliest one, and those at it."""
     met = cut_lineage(lists.join(low, key))
     # lists of one key lie together: dealt out evenly before they are opened
     met = met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     before = lambda x: (x["doc_id"] > F.col("low.doc_id")) | ((x["doc_id"] == F.col("low.doc_id")) & (x["head"] > F.col("low.head")))
-    rest = [c for c in met.columns if c != "places"]
-    return tuple(met.select(*rest, F.inline(F.filter("places", f))) for f in (before, lambda x: ~before(x)))
+    rest = [c for c in met.columns if c != places]
+    return tuple(met.select(*rest, F.inline(F.filter(places, f))) for f in (before, lambda x: ~before(x)))
 
 
 def split_hot(runs: DataFrame, width: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """For runs of crowded anchors: the runs that are left to sort, and the windows already found repeated."""
     key = ["rep", "at", "bytes"]
-    lists, low = earlier(runs, key)
+    lists, low = earlier(runs, key, "run_places")
     crowded = low.groupBy("rep").agg(F.count("*").alias("n")).select("rep", (F.col("n") > hot).alias("crowded"))
-    copies, leads = late(lists, low.join(crowded, "rep").drop("n"), key)
+    copies, leads = late(lists, low.join(crowded, "rep").drop("n"), key, "run_places")
     copies = copies.select("row", F.col("head").alias("first"), (F.col("head") + F.length("bytes") - width).alias("last"))
     single = leads.where("crowded").select("row", "doc_id", "head", "bytes").mapInArrow(_single_windows(width), "digest binary, row bigint, doc_id bigint, head bigint")
-    lists, first = earlier(single, ["digest"])
-    again, _ = late(lists, first.where("n > 1").drop("n"), ["digest"])
+    lists, first = earlier(single, ["digest"], "window_places")
+    again, _ = late(lists, first.where("n > 1").drop("n"), ["digest"], "window_places")
     again = again.select("row", F.col("head").alias("first"), F.col("head").alias("last"))
     return leads.where("not crowded").select(*RUN_NAMES), copies.unionAll(again)
 
