@@ -9,10 +9,16 @@ keyed cycle of that space: a Feistel permutation, one step, and back. So
 * the replacement has the same length, case, script, separators and checksum
   state, and a given name of a listed gender becomes another of that gender;
 * the same entity becomes the same surrogate everywhere under one key
-  (coreference), without a table that grows with the corpus;
+  (coreference), without a table that grows with the corpus, and however it is
+  written: what moves is the address in lower case, the digits of a number
+  without its separators, each word of a name by itself; the mention's own
+  spacing and case are laid over the result. A person named once is also found
+  without title later in the text;
 * two entities never share a surrogate and none keeps its value, because a
   cycle is a bijection without fixed points. ``collisions`` checks that over a
-  whole corpus, and each task checks what it has replaced.
+  whole corpus, and each task checks what it has replaced;
+* nobody without the key can go back. It comes from the session's setting
+  ``KEY_SETTING``; where that is unset, the session draws one at random.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,7 +35,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skyledger.llm.common import aside, process_cache, table
 
-DEFAULT_KEY = "corpus-surrogates"
+#: setting that holds the secret key; without it a session draws one of its own
+KEY_SETTING = "spark.skyledger.surrogateKey"
 ROUNDS = 8
 
 #: given names that mark a gender
@@ -44,6 +52,8 @@ SCRIPTS = (
     "абвгдежзийклмнопрстуфхцчшщъыьэюя",
 )
 
+FOLDED = frozenset(VOWELS + CONSONANTS + SCRIPTS[0] + SCRIPTS[2])
+
 EMAIL = re.compile(r"(?<![\w.+-])[^\W_][\w.+-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
 SECRET = re.compile(r"(?i)\b(?:api[_-]?key|secret(?:[_-]?key)?|token|password|passwd|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_-]{8,}={0,2})")
 PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "sk-", "xoxb-", "xoxp-")
@@ -105,10 +115,32 @@ def hexadecimal(value: str) -> str:
     return "lower" if value == value.lower() else "upper" if value == value.upper() else ""
 
 
+def secret_key(spark: SparkSession) -> str:
+    """The key of the session: from its setting, or drawn at random once and kept there, so that a session's results agree."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def laid(chars: str, value: str) -> str:
+    """``chars`` in the places of the letters and digits of ``value``; the rest of ``value`` stays."""
+    rest, out = iter(chars), []
+    for c in value:
+        out.append(next(rest) if c.isalnum() else c)
+    return "".join(out)
+
+
+def folded(value: str) -> str:
+    """Lower case in Latin and Cyrillic script, where every letter of a class has one capital; other scripts keep their case apart."""
+    return "".join(low if (low := c.lower()) in FOLDED else c for c in value)
+
+
 class Surrogates:
     """Surrogates under one key; what it has made is kept while a task runs."""
 
-    def __init__(self, key: str = DEFAULT_KEY, most: int = 100_000):
+    def __init__(self, key: str, most: int = 100_000):
         self.key, self.most = key.encode(), most
         self.made: dict[tuple[str, str], str] = {}
         self.back: dict[tuple[str, str], str] = {}
@@ -171,8 +203,10 @@ class Surrogates:
         return got
 
     def _email(self, value: str) -> str:
-        """User and domain move, the last label (the kind of domain) stays; case does not matter to a mail address."""
-        return self.shaped(value, "email", fixed=frozenset(range(value.rindex("."), len(value))))
+        """User and domain move, the last label (the kind of domain) stays; one address in any case has one surrogate, in that case."""
+        low = folded(value)
+        out = self.shaped(low, "email", fixed=frozenset(range(low.rindex("."), len(low))))
+        return "".join(n.upper() if c.isupper() and folded(n.upper()) == n else n for c, n in zip(value, out))
 
     def _secret(self, value: str) -> str:
         """Hexadecimal stays so, in its case; nothing else becomes hexadecimal, so the spaces stay apart."""
@@ -206,38 +240,56 @@ class Surrogates:
         return self.shaped(value, "padded")
 
     def _account(self, value: str) -> str:
-        return self.shaped(value, "account", fixed=frozenset((0, 1)))
+        """However it is spaced; the country stays."""
+        return laid(self.shaped(value.replace(" ", ""), "account", fixed=frozenset((0, 1))), value)
 
     def _card(self, value: str) -> str:
-        """All digits but the last move; the last keeps its distance from the checksum."""
-        last = len(value) - 1
-        out = self.shaped(value[:last], "card") + value[last]
-        shift = int(value[last]) - check_digit(value[:last])
+        """However it is spaced: all digits but the last move, and the last keeps its distance from the checksum."""
+        digits = "".join(c for c in value if c.isdigit())
+        body, end = digits[:-1], digits[-1]
+        out = self.shaped(body, "card")
+        shift = int(end) - check_digit(body)
         # in the digits of its own script
-        return out[:last] + chr(ord(value[last]) - int(value[last]) + (check_digit(out[:last]) + shift) % 10)
+        return laid(out + chr(ord(end) - int(end) + (check_digit(out) + shift) % 10), value)
 
     def _social(self, value: str) -> str:
         return self.shaped(value, "social")
 
     def _phone(self, value: str) -> str:
-        """The country code stays."""
-        code = re.match(r"\+\d{1,3}(?=[ .(/-])", value)
-        return self.shaped(value, "phone", fixed=frozenset(range(code.end() if code else 0)))
+        """The country code and trunk zeros stay; the national number moves alike however it is written.
+
+        National numbers of one length and no leading zero are one space.
+        """
+        code = re.match(r"\+ ?\d{1,3}(?=[ .(/-])", value)
+        at = [k for k, c in enumerate(value) if c.isdigit() and k >= (code.end() if code else 0)]
+        while len(at) > 1 and int(value[at[0]]) == 0:
+            at = at[1:]
+        least = 10 ** (len(at) - 1) if int(value[at[0]]) else 0
+        number = int("".join(str(int(value[k])) for k in at)) - least
+        moved = str(self.step(number, 10 ** len(at) - least, f"phone:{len(at)}:{least}") + least).zfill(len(at))
+        out = list(value)
+        for k, d in zip(at, moved):
+            out[k] = chr(ord(value[k]) - int(value[k]) + int(d))
+        return "".join(out)
 
     def _name(self, value: str) -> str:
-        given, _, family = value.partition(" ")
+        """Word by word, so that a family name alone is the one it was beside a given name; listed given names keep their gender."""
+        given, gap, family = value.partition(" ")
         for names in (WOMEN, MEN):
             if given in names:
-                other = names[self.step(names.index(given), len(names), f"given:{len(names)}:{names[0]}")]
-                return f"{other} {self._letters(family)}" if family else other
-        return self._letters(value)
+                given = names[self.step(names.index(given), len(names), f"given:{len(names)}:{names[0]}")]
+                break
+        else:
+            given = self._letters(given)
+        return given + gap + " ".join(self._letters(w) if any(map(str.isalnum, w)) else w for w in family.split(" "))
 
     def _letters(self, value: str) -> str:
-        out = self.shaped(value, "name")
+        low = folded(value)
+        out = self.shaped(low, "name")
         # a listed name must not arise from letters: walk on along the cycle
-        while out.partition(" ")[0] in WOMEN + MEN:
+        while out.capitalize() in WOMEN + MEN:
             out = self.shaped(out, "name")
-        return out
+        return "".join(n.upper() if c.isupper() and folded(n.upper()) == n else n for c, n in zip(value, out))
 
 
 def check_digit(digits: str) -> int:
@@ -288,6 +340,13 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
                 continue
             if all(b <= x or a >= y for x, y, _, _ in found):
                 found.append((a, b, kind, text[a:b]))
+    # a person who was named once is met again without title, by the whole name or a part of it
+    known = {w for _, _, kind, value in found if kind == "name" for w in value.split(" ") if len(w) > 2 and w[0].isupper()}
+    if known:
+        words = "|".join(map(re.escape, sorted(known, key=lambda w: (-len(w), w))))
+        for m in re.finditer(rf"(?<!\w)(?:{words})(?: (?:{words}))*(?!\w)", text):
+            if all(m.end() <= x or m.start() >= y for x, y, _, _ in found):
+                found.append((m.start(), m.end(), "name", m.group()))
     return sorted(found)
 
 
@@ -303,13 +362,13 @@ def replace(text: str | None, made: Surrogates) -> tuple[str | None, int]:
     return "".join([*out, text[at:]]), len(found)
 
 
-def surrogate(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
+def surrogate(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text`` and their number in ``n_entities``; no shuffle.
 
     Null and empty texts stay as they are with 0 entities. Repeated rows change
     alike; an empty table gives no rows; a column of that name is replaced.
     """
-    kept = [c for c in docs.columns if c != "n_entities"]
+    key, kept = key or secret_key(docs.sparkSession), [c for c in docs.columns if c != "n_entities"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), "n_entities int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,8 +381,9 @@ def surrogate(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> Da
     return docs.select(kept).mapInArrow(run, schema)
 
 
-def entity_table(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
+def entity_table(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """Distinct (kind, value, surrogate) of a corpus."""
+    key = key or secret_key(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Surrogates(key)
@@ -335,7 +395,7 @@ def entity_table(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) ->
     return docs.select(text).mapInArrow(run, "kind string, value string, surrogate string").distinct()
 
 
-def collisions(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
+def collisions(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """Surrogates of a corpus that stand for more than one entity, or for themselves: none."""
     own = entity_table(docs, text, key)
     return own.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.max((F.col("value") == F.col("surrogate")).cast("int")).alias("same")).where("n > 1 or same > 0")

@@ -40,7 +40,7 @@ def test_pipeline_end_to_end(spark):
     assert {r["doc_id"] for r in kept[0][1]} == clean
     low = {r["component_id"] for r in simhash.near_duplicates(kept[1][2]).collect()}
     assert {r["doc_id"] for r in kept[1][1]} == low
-    made = pii.Surrogates()
+    made = pii.Surrogates("test")
     assert all(r["text"] == pii.replace(before[r["doc_id"]], made)[0] for r in kept[2][1])
     assert len(kept[2][1]) == len(kept[1][1])
     final = corpus_pipeline.run(spark, FOLDER)
