@@ -12,26 +12,44 @@ from skyledger.functions.flags import distance_trust
 from skyledger.functions.nulls import ensure_flags
 from skyledger.functions.vectors import bad_spectrum, normalise_errors, normalise_vector, zscore_vector
 from skyledger.operators.joins import join_chain, join_many_to_one, merge_distances, semi_ids
+from skyledger.operators.ranking import one_row
 from skyledger.operators.sampling import stratified_cap, volume_limited
 from skyledger.operators.sets import union_arms
 from skyledger.operators.spatial import neighbourhood
 
 
+def frozen_vector_stats(train: DataFrame, vector: str) -> Column:
+    """Mean and standard deviation of every position over the training rows, as arrays ``mean`` and ``sigma`` of a scalar subquery."""
+    each = train.select(F.posexplode(vector).alias("at", "x")).groupBy("at").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
+    rows = each.agg(F.sort_array(F.collect_list(F.struct("at", "m", "s"))).alias("r"))  # one entry a position
+    return one_row(rows.select(F.transform("r", lambda x: x["m"]).alias("mean"), F.transform("r", lambda x: x["s"]).alias("sigma")))
+
+
+def _zscored(df: DataFrame, vector: str, name: str, mean: Column | Sequence[float], sigma: Column | Sequence[float]) -> DataFrame:
+    """``df`` with the z-scores of a vector; frozen columns are laid beside the rows first, since no lambda may hold a subquery."""
+    if not isinstance(mean, Column):
+        return df.withColumn(name, zscore_vector(vector, mean, sigma))
+    beside = df.withColumn("__mean", mean).withColumn("__sigma", sigma)
+    return beside.withColumn(name, zscore_vector(vector, F.col("__mean"), F.col("__sigma"))).drop("__mean", "__sigma")
+
+
 def preprocess(
     df: DataFrame,
     zero_points: Sequence[tuple[float, float, float]],
     *,
+    flux: str | None = None,
     vector: str | None = None,
     mean: Column | Sequence[float] | None = None,
     sigma: Column | Sequence[float] | None = None,
     extinction: bool = True,
     **names: str,
 ) -> DataFrame:
-    """Parallax, magnitude, frozen z-score, dereddening and flags."""
+    """Projection of ``flux`` on the band basis, parallax, magnitude, frozen z-score, dereddening and flags."""
+    df = project_basis(df, flux) if flux is not None else df
     out = parallax_correction(df, zero_points, mag=names.get("mag", "phot_g_mean_mag"))
     out = g_mag_correction(out, mag=names.get("mag", "phot_g_mean_mag"))
     if vector is not None:
-        out = out.withColumn(f"{vector}_z", zscore_vector(vector, mean, sigma))
+        out = _zscored(out, vector, f"{vector}_z", mean, sigma)
     if extinction:
         out = correct_extinction(out)
     return ensure_flags(out, ["ood_joint_flag", "label_extrapolation_flag"])
@@ -42,7 +60,7 @@ def spectra_ingest(ids: DataFrame, spectra: DataFrame, key: str, coeffs: str, er
     own = semi_ids(spectra, ids, key).where(~bad_spectrum(coeffs) & ~bad_spectrum(F.transform(errors, lambda x: F.abs(x) + 1.0)))
     out = own.select(key, normalise_vector(coeffs).alias("coeffs_norm"), normalise_errors(coeffs, errors).alias("errors_norm"))
     out = out.withColumn("c0_log", F.get("coeffs_norm", F.lit(0)))
-    return out if mean is None else out.withColumn("coeffs_z", zscore_vector("coeffs_norm", mean, sigma))
+    return out if mean is None else _zscored(out, "coeffs_norm", "coeffs_z", mean, sigma)
 
 
 def enrich_geometry(
