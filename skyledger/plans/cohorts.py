@@ -10,7 +10,7 @@ from skyledger.functions.corrections import ABUNDANCE_TRENDS, abundance_trend, d
 from skyledger.functions.extinction import compose_by_zone, correct_extinction
 from skyledger.functions.flags import distance_trust
 from skyledger.functions.nulls import ensure_flags
-from skyledger.functions.vectors import bad_spectrum, normalise_errors, normalise_vector, zscore_vector
+from skyledger.functions.vectors import bad_spectrum, normalise_errors, normalise_vector, project_basis, zscore_vector
 from skyledger.operators.joins import join_chain, join_many_to_one, merge_distances, semi_ids
 from skyledger.operators.ranking import one_row
 from skyledger.operators.sampling import stratified_cap, volume_limited

@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 FROZEN_SCHEMA = "fingerprint string, n_rows long, bands map<string, struct<mean: array<double>, sigma: array<double>>>"
 
+#: name of the note that columns carry
+STATS_MARK = "stats_fingerprint"
+
 
 def write_with_lineage(
     df: DataFrame, cuts: Mapping[str, Column], path: str, *, sources: Sequence[str], corrections: Sequence[str] = (), seed: int | None = None, extra: Mapping[str, str] | None = None
@@ -39,8 +42,28 @@ def lineage_record(
     return spark.createDataFrame([row], schema)
 
 
+def mark_fingerprint(df: DataFrame, value: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Note on columns (all, unless named) with which frozen statistics they were made.
+
+    The note is column metadata: it goes through selections and joins, and
+    Parquet keeps it with the schema.
+    """
+    for c in columns or df.columns:
+        df = df.withMetadata(c, {**df.schema[c].metadata, STATS_MARK: value})
+    return df
+
+
+def marked_fingerprint(df: DataFrame) -> str | None:
+    """The fingerprint noted on the columns; None if there is none, an error if there are several."""
+    found = {f.metadata[STATS_MARK] for f in df.schema if STATS_MARK in f.metadata}
+    if len(found) > 1:
+        raise ValueError(f"columns made with different statistics: {sorted(found)}")
+    return next(iter(found), None)
+
+
 def release_sidecar(df: DataFrame, tier: str, gates: Sequence[str], added: Sequence[str]) -> DataFrame:
-    """Tier counts, gates in force and added columns as one JSON text."""
+    """Tier counts, gates in force, added columns and, if one is noted on the columns, the statistics' fingerprint as one JSON text."""
+    noted = marked_fingerprint(df)
     counts = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         *[F.count_if(F.col(tier) == t).alias(f"tier{t}") for t in (1, 2, 3)],
@@ -52,6 +75,7 @@ def release_sidecar(df: DataFrame, tier: str, gates: Sequence[str], added: Seque
                 F.struct("tier1", "tier2", "tier3").alias("counts"),
                 F.array(*[F.lit(g) for g in gates]).alias("gates"),
                 F.array(*[F.lit(a) for a in added]).alias("columns_added"),
+                *([F.lit(noted).alias(STATS_MARK)] if noted else []),
             )
         ).alias("sidecar")
     )

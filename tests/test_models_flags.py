@@ -294,3 +294,46 @@ def test_published_constants_are_as_published():
     assert co.KMS_PER_MASYR_KPC == 4.74047 and co.SOLAR_MOTION == (-11.1, 12.24, 7.25)
     # a trend that switches at its limits
     assert info.poisson_cuts(4) == pytest.approx([0.36787944, 0.73575888, 0.91969860, 0.98101184], abs=1e-8)
+
+
+def test_fingerprint_goes_from_the_statistics_to_the_release(spark):
+    import json
+
+    from skyledger.bindings.b02_filters import FIVE
+    from skyledger.bindings.b09_plans import release_inputs
+    from skyledger.bindings.registry import Tables
+    from skyledger.plans import release as rel
+    from skyledger.session import work_folder
+    from skyledger.sources import lineage as lin
+
+    predictions, features, kin = release_inputs(Tables(spark, "/root/testdata/sf0.001"))
+    folder = work_folder(spark, "predictions")
+    lin.mark_fingerprint(predictions, "abc123", [f"{e}_pred" for e in FIVE]).write.parquet(folder)
+    stored = spark.read.parquet(folder)
+    assert lin.marked_fingerprint(stored) == "abc123"
+    out = rel.run_release(stored, features, "source_id", work_folder(spark, "release"), FIVE, kin)
+    side = json.loads(out["sidecar"].first().sidecar)
+    assert side["stats_fingerprint"] == "abc123" and side["n_rows"] == stored.count()
+    assert lin.marked_fingerprint(out["annotated"]) == "abc123"
+    plain = rel.run_release(predictions, features, "source_id", work_folder(spark, "release"), FIVE, kin)
+    assert "stats_fingerprint" not in json.loads(plain["sidecar"].first().sidecar)
+    mixed = lin.mark_fingerprint(stored, "other", ["teff_pred"])
+    with pytest.raises(ValueError):
+        lin.marked_fingerprint(mixed)
+
+
+def test_preprocess_projects_and_scales(spark):
+    from skyledger.bindings.b07_functions import ZP
+    from skyledger.bindings.b09_plans import raw_stars
+    from skyledger.bindings.registry import Tables
+    from skyledger.plans import cohorts as ch
+
+    grid = vc.sampling_grid()
+    df = raw_stars(Tables(spark, "/root/testdata/sf0.001")).limit(20).withColumn("flux", F.transform(F.sequence(F.lit(1), F.lit(int(grid.size))), lambda i: F.col("u1") + F.sqrt(i.cast("double"))))
+    frozen = ch.frozen_vector_stats(vc.project_basis(df, "flux"), [c for c in vc.project_basis(df, "flux").columns if c.endswith("_coeffs")][0])
+    name = [c for c in vc.project_basis(df, "flux").columns if c.endswith("_coeffs")][0]
+    got = ch.preprocess(df, ZP, flux="flux", vector=name, mean=frozen["mean"], sigma=frozen["sigma"], extinction=False)
+    assert "flux" not in got.columns and "residual_rms" in got.columns
+    z = np.array([r[0] for r in got.select(f"{name}_z").collect()])
+    first = z[:, 0]
+    assert first.mean() == pytest.approx(0, abs=1e-9) and first.std(ddof=1) == pytest.approx(1)
