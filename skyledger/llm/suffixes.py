@@ -338,12 +338,12 @@ def _single_windows(width: int):
 def earlier(found: DataFrame, key: list[str], places: str) -> tuple[DataFrame, DataFrame]:
     """For rows (key, row, doc_id, head): the ``places`` of each key, in lists; and a row for each key with its earliest place ``low``.
 
-    Places are gathered for one partition of the stored documents at a time
-    (the upper bits of ``row``), so a list is as long as one partition allows
-    and the many places of one key travel as few rows.
+    Places are gathered for a sixteenth of one partition of the stored documents
+    at a time (the upper bits of ``row`` name it), so a list stays short, the
+    many places of one key travel as few rows, and tasks get even shares.
     """
     place = F.struct("doc_id", "head", "row")
-    lists = cut_lineage(found.groupBy(*key, F.shiftright("row", 33).alias("part")).agg(F.collect_list(place).alias(places)))
+    lists = cut_lineage(found.groupBy(*key, (F.shiftright("row", 33) * 16 + F.pmod("row", F.lit(16))).alias("part")).agg(F.collect_list(place).alias(places)))
     low = cut_lineage(lists.groupBy(*key).agg(F.min(F.array_min(places)).alias("low"), F.sum(F.size(places)).alias("n")))
     return lists, low
 
