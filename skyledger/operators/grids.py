@@ -82,9 +82,9 @@ def histogram_1d(df: DataFrame, keys: Sequence[str], value: Column, edges: Seque
     return binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def density_2d(df: DataFrame, x: tuple[Column, Sequence[float]], y: tuple[Column, Sequence[float]]) -> DataFrame:
-    """2-D histogram and each cell's share of its row of equal y."""
-    cells = df.select(bin_index(*x, closed_last=True).alias("ix"), bin_index(*y, closed_last=True).alias("iy"))
+def density_2d(df: DataFrame, x: tuple[Column, Sequence[float]], y: tuple[Column, Sequence[float]], closed_last: tuple[bool, bool] = (True, True)) -> DataFrame:
+    """2-D histogram and each cell's share of its row of equal y; ``closed_last`` says for x and y whether the last edge belongs to the last bin."""
+    cells = df.select(bin_index(*x, closed_last[0]).alias("ix"), bin_index(*y, closed_last[1]).alias("iy"))
     cells = cells.dropna().groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"))
     rows = cells.groupBy("iy").agg(F.sum("n").alias("row_n"))
     return cells.join(rows, "iy").select("ix", "iy", "n", (F.col("n") / F.col("row_n")).alias("share"))
