@@ -35,7 +35,9 @@ def query(name: str, sql: str | None = None, r: str = "", digits: int = 6, i: st
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             df = fn(Tables(tune(spark), folder))
-            casts = {c: F.round(F.col(c).cast("double"), digits) + 0.0 for c in rounded}
+            # as SQL engines round doubles; F.round with digits goes through the decimal text and parts at ties
+            scale = float(10**digits)
+            casts = {c: F.round(F.col(c).cast("double") * scale) / scale + 0.0 for c in rounded}
             casts.update({c: F.col(c).cast("long") for c in ints})
             return df.withColumns(casts) if casts else df
 
