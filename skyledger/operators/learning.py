@@ -11,7 +11,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyledger.functions.nulls import is_finite
-from skyledger.operators.ranking import hash_rank, join_on_keys
+from skyledger.operators.ranking import hash_rank, join_on_keys, one_row
 
 
 def fit_linear(df: DataFrame, features: Sequence[str], label: str, ridge: float = 0.0) -> LinearRegressionModel:
@@ -88,18 +88,57 @@ def shuffled_null(df: DataFrame, model: LinearRegressionModel, features: Sequenc
 
 
 def audit_report(df: DataFrame, features: Sequence[str], labels: Sequence[str], shuffled: Sequence[str], cells: Sequence[str], ids: Sequence[str], seed: int = 0) -> DataFrame:
-    """Per label and feature: baseline, permutation importance, leave-one-out change, null error."""
+    """Per label and feature: baseline, permutation importance, leave-one-out change, null error.
+
+    Labels that are missing in the same rows share the two shuffles.
+    """
+    kinds = dict(df.dtypes)
+    missing = {c: F.col(c).isNull() | F.isnan(c) if kinds[c] in ("float", "double") else F.col(c).isNull() for c in labels}
+    unlike = [F.count_if(missing[a] != missing[b]).alias(f"{i}_{j}") for i, a in enumerate(labels) for j, b in enumerate(labels[:i])]
+    differ = df.dropna(subset=list(features)).agg(*unlike).first().asDict() if unlike else {}
+    alike: list[list[str]] = []
+    for i, label in enumerate(labels):
+        home = next((g for g in alike if differ[f"{i}_{labels.index(g[0])}"] == 0), None) if alike else None
+        alike.append([label]) if home is None else home.append(label)
     out = None
-    for label in labels:
-        model = fit_linear(df, features, label)
-        perm = permutation_importance(df, model, features, label, ids, seed)
-        part = perm.join(leave_one_out(df, model, features), "feature")
-        null = shuffled_null(df, model, features, shuffled, label, cells, ids, seed)
-        part = part.withColumn("shuffled_null_rmse", null.select("null_rmse").scalar()).withColumn("label", F.lit(label))
+    for group in alike:
+        part = _audit(df, features, group, shuffled, cells, ids, seed)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _audit(df: DataFrame, features: Sequence[str], labels: Sequence[str], shuffled: Sequence[str], cells: Sequence[str], ids: Sequence[str], seed: int) -> DataFrame:
+    """The audit of labels that are present in the same rows."""
+    models = [fit_linear(df, features, label) for label in labels]
+    rows = df.dropna(subset=[*features, *labels]).select(*dict.fromkeys([*cells, *ids, *features, *shuffled, *labels]))
+    swap = lambda names: {f: f"{f}__shuffled" for f in names}
+    base, perm, null, alone = [], [], [], []
+    for i, (label, m) in enumerate(zip(labels, models)):
+        y, pred = F.col(label), linear_expression(m, features)
+        base.append(rmse(pred, y).alias(f"base{i}"))
+        null.append(rmse(linear_expression(m, features, swap(shuffled)), y).alias(f"null{i}"))
+        for j, (f, w) in enumerate(zip(features, m.coefficients)):
+            perm.append(rmse(linear_expression(m, features, swap([f])), y).alias(f"perm{i}_{j}"))
+            alone.append(rmse(pred - float(w) * F.col(f), pred).alias(f"alone{i}_{j}"))
+    wide = shuffle_within(rows, [], features, ids, seed).agg(*base, *perm)
+    wide = wide.withColumn("null", one_row(shuffle_within(rows, cells, shuffled, ids, seed).agg(*null)))
+    wide = wide.withColumn("alone", one_row(df.dropna(subset=list(features)).agg(*alone)))
+    found = [
+        F.struct(
+            F.lit(f).alias("feature"),
+            F.col(f"base{i}").alias("baseline_rmse"),
+            F.col(f"perm{i}_{j}").alias("permuted_rmse"),
+            (F.col(f"perm{i}_{j}") - F.col(f"base{i}")).alias("importance"),
+            F.col("alone")[f"alone{i}_{j}"].alias("looco_delta_rmse"),
+            F.col("null")[f"null{i}"].alias("shuffled_null_rmse"),
+            F.lit(label).alias("label"),
+        )
+        for i, label in enumerate(labels)
+        for j, f in enumerate(features)
+    ]
+    return wide.select(F.inline(F.array(*found)))
+
+
 def _vectors(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
     """Add ``__f``: the columns, or the one array column, as an ML vector; rows with holes are left out."""
     names = [columns] if isinstance(columns, str) else list(columns)
