@@ -176,7 +176,8 @@ def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) that join the same sets of fingerprints as all links do; ``fps``: distinct longs ``fp``."""
     entries = fps.mapInArrow(_entries(False), "anchor bigint, fp bigint, home boolean")
     counts = entries.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("n_home")).where("n > 1 and n_home > 0")
-    met = entries.join(counts, "anchor")
+    # Spark sizes what a task function makes by its input, here up to 34 times too low, and would broadcast it
+    met = entries.join(counts.hint("merge"), "anchor")
     crowded = met.where(F.col("n") > CROWD).drop("n", "n_home").mapInArrow(_entries(True), "anchor bigint, fp bigint, home boolean")
     ready = met.where(F.col("n") <= CROWD).drop("n", "n_home").unionAll(crowded)
     # a plain hash decides the partition, so that neighbouring anchors spread
@@ -195,10 +196,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     fp = cut_lineage(fingerprints(narrow).select("doc_id", F.col("_fp").alias("fp")))
     classes = fp.groupBy("fp").agg(F.min("doc_id").alias("low"))
     member = components(links(classes.select("fp"))).select(F.col("node").alias("fp"), "component")
-    rooted = classes.join(member, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
+    rooted = classes.join(member.hint("merge"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = cut_lineage(rooted.join(roots, "root").select("fp", "component_id"))
-    return fp.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = cut_lineage(rooted.join(roots.hint("merge"), "root").select("fp", "component_id"))
+    return fp.join(named.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:

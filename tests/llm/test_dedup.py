@@ -3,7 +3,7 @@ import pytest
 import xxhash
 from brute import Sets, documents, frame, removal, same, words
 
-from skyledger.llm import pivots, simhash, substrings
+from skyledger.llm import common, pivots, simhash, substrings
 from skyledger.llm.common import components, forest
 from pyspark.sql import functions as F
 
@@ -52,6 +52,23 @@ def test_simhash_links_find_every_pair(spark, monkeypatch, crowd):
         assert found.get(f, f) == sets.find(f)
 
 
+def test_simhash_broadcasts_nothing(spark, monkeypatch):
+    """Entries of anchors and edges are larger than Spark takes them for, so no join may send them through the driver."""
+    plans, cut = [], common.cut_lineage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(common, "cut_lineage", seen)
+    monkeypatch.setattr(simhash, "cut_lineage", seen)
+    out = simhash.near_duplicates(frame(spark))
+    out.collect()
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 4
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_simhash_stage_keeps_one_of_each_group(spark):
     docs = frame(spark)
     kept = simhash.stage(spark, docs, "")
