@@ -75,6 +75,8 @@ def cursors(narrow: DataFrame, weights: tuple[float, ...], share: float, epochs:
     placed = slot_sums.withColumn("_before", F.sum("n").over(by_slot) - F.col("n"))
     at_edge = (F.col("_before") < F.col("_extra")) & (F.col("_extra") <= F.col("_before") + F.col("n"))
     edge_slot = placed.join(filled, placed["source"].eqNullSafe(filled["_s"])).where(at_edge).select(F.col("source").alias("_es"), F.col("_slot").alias("_eslot"), "_before", "_extra")
+    # stored, so that Spark knows that this side is the small one and does not broadcast the rows
+    edge_slot = cut_lineage(edge_slot)
     rows = narrow.withColumn("_slot", slot)
     rows = rows.join(edge_slot, rows["source"].eqNullSafe(edge_slot["_es"]) & (rows["_slot"] == edge_slot["_eslot"]))
     ties = rows.groupBy("_es", "_order", "size", "_before", "_extra").agg(F.count("*").alias("_k"))

@@ -216,5 +216,5 @@ def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     chosen = found.where("doc_id = component_id").select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
     inner, back = aside(docs, {"_copy"})
-    kept = inner.join(chosen, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
+    kept = inner.join(chosen.hint("merge"), "doc_id", "left_semi").withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
     return back(kept.unionAll(inner.where("doc_id is null")))

@@ -185,6 +185,19 @@ def test_mixing_many_rounds_of_clamping(spark):
     assert [got[k] for k in range(8)] == pytest.approx(want)
 
 
+def test_mixing_broadcasts_the_slots_at_the_edge_not_the_rows(spark, monkeypatch):
+    plans, cut = [], mixing.cut_lineage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(mixing, "cut_lineage", seen)
+    mixing.mix(frame(spark, [(i, "a b c", "en", f"s{i % 3}", 5, 1, "", "", "", 1) for i in range(2000)])).collect()
+    assert any("BuildRight" in p for p in plans)
+    assert not any("BuildLeft" in p for p in plans)
+
+
 def test_mixing_stage_repeats_documents(spark):
     docs = frame(spark)
     out = mixing.stage(spark, docs, "")
